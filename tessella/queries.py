@@ -1,0 +1,4 @@
+"""The engine's queries by name, and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
