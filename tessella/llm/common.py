@@ -94,3 +94,23 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
             break
     roots = edges.groupBy("u").agg(F.min("v").alias("_root"))
     return vertices.select("id").join(roots, F.col("id") == F.col("u"), "left").select("id", F.coalesce("_root", "id").alias("component"))
+
+
+def pieces(batches, limit: int = 1 << 21):
+    """(first column's values, texts) of Arrow batches, a bounded number of text bytes at a time.
+
+    A single longer text comes alone. The second column holds the texts; null is empty.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(sizes)
+        start = 0
+        while start < len(sizes):
+            base = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, base + limit, "right")))
+            part = batch.slice(start, end - start)
+            yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
+            start = end

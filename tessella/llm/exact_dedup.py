@@ -88,8 +88,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", keep: str = "max", bloc
     """
     named = cut(identities(docs.where(F.col(id_col).isNotNull()), id_col, block=block))
     pick = {"max": F.max, "min": F.min}[keep]
-    groups = named.groupBy("round", "name").agg(pick("row").alias("keep_id"), F.count("*").alias("group_size"))
-    # Groups of one need no join; of the rest a hot one is split by the skew join.
+    groups = cut(named.groupBy("round", "name").agg(pick("row").alias("keep_id"), F.count("*").alias("group_size")))
+    # Both sides are shuffled for the join, so that the skew join can split a hot group.
     return named.join(groups, ["round", "name"]).select(F.col("row").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_id")).alias("kept"))
 
 
