@@ -1,7 +1,7 @@
 """The queries of the training-data operators by name, and their SQL."""
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, pii, quality
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, pii, line_dedup, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
