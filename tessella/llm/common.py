@@ -41,8 +41,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows before a row among those of its keys.
+def running_sums(df: DataFrame, keys: list[str], order: list[str], **sums: str) -> DataFrame:
+    """Adds, for each ``out=value``, the sum of ``value`` over the rows before a row among those of its keys.
 
     No key is gathered in one task: rows are range-sorted by (keys, order), summed
     in each range, and each range starts from the sum of those before it. ``order``
@@ -54,14 +54,14 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], value: str, o
     ranged = cut(df.repartitionByRange(partitions(spark), *by).withColumn("_range", F.spark_partition_id()))
     inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*[F.col(f"_k{i}") for i in range(len(keys))] or [F.lit(0)]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    #: At most a row for each range and key: ranges hold whole runs of keys.
-    starts = ranged.groupBy(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum(value).alias("_s"))
-    starts = starts.withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    same = (F.col("_range") == F.col("_r"))
+    # At most a row for each range and key: ranges hold whole runs of keys.
+    starts = ranged.groupBy(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[F.sum(v).alias(f"_s_{out}") for out, v in sums.items()])
+    starts = starts.select("_r", *[f"_k{i}" for i in range(len(keys))], *[F.coalesce(F.sum(f"_s_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in sums])
+    same = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    summed = ranged.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(starts, same, "left").withColumn(out, (F.col("_in") + F.col("_start")).cast("long")).drop("_range", "_in", "_r", "_start", *[f"_k{i}" for i in range(len(keys))])
+    summed = ranged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_i_{out}") for out, v in sums.items()])
+    return summed.join(starts, same, "left").select(*df.columns, *[(F.col(f"_i_{out}") + F.col(f"_b_{out}")).cast("long").alias(out) for out in sums])
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:

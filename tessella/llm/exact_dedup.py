@@ -25,7 +25,7 @@ BLOCK = 4096
 
 def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     """Adds ``name``: 1 for the first row in the order of ``by``, then 2, 3, ..."""
-    ranked = running_sums(distinct.withColumn("_one", F.lit(1)), [], by, "_one", "_before")
+    ranked = running_sums(distinct.withColumn("_one", F.lit(1)), [], by, _before="_one")
     return ranked.withColumn("name", F.col("_before") + 1).drop("_one", "_before")
 
 
