@@ -1,7 +1,7 @@
 """The queries of the training-data operators by name, and their SQL."""
 
-from . import chat, exact_dedup, line_dedup, mixing, pii, quality
+from . import chat, exact_dedup, line_dedup, mixing, pii, quality, token_files
 
-MODULES = (exact_dedup, chat, mixing, pii, line_dedup, quality)
+MODULES = (exact_dedup, chat, token_files, mixing, pii, line_dedup, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
