@@ -109,10 +109,13 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def pieces(batches, limit: int = 1 << 21):
-    """(first column's values, texts) of Arrow batches, a bounded number of text bytes at a time.
+    """(first column's values, texts) of Arrow batches, as slices() deals them; null texts are empty."""
+    for part in slices(batches, limit):
+        yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
 
-    A single longer text comes alone. The second column holds the texts; null is empty.
-    """
+
+def slices(batches, limit: int):
+    """Arrow batches with a bounded number of bytes in their second column; a single longer value comes alone."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -123,6 +126,5 @@ def pieces(batches, limit: int = 1 << 21):
         while start < len(sizes):
             base = total[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(total, base + limit, "right")))
-            part = batch.slice(start, end - start)
-            yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
+            yield batch.slice(start, end - start)
             start = end

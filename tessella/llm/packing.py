@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, pieces, remove, running_sums, scratch
+from .common import cut, documents, remove, running_sums, scratch, slices
 
 WINDOW = 2048
 SWEEPS = 30
@@ -43,8 +43,9 @@ def tokenize(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, win
         from .tokens import encoder
 
         uid = TaskContext.get().partitionId() << 40
-        for doc_ids, texts in pieces(batches, 8 << 20):
-            ids, bounds = encoder(vocabulary).encode(pa.array(texts, pa.large_string()))
+        for part in slices(batches, 8 << 20):
+            doc_ids = part.column(0)
+            ids, bounds = encoder(vocabulary).encode(part.column(1))
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))
             counts = np.diff(bounds)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, pieces, remove, running_sums, scratch
+from .common import cut, documents, remove, running_sums, scratch, slices
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20
@@ -29,21 +29,27 @@ ROUNDS, LEAST = 5, 16
 
 
 #: Slots in which pairs are counted.
-SLOTS = 1 << 19
+SLOTS, SHIFT = 1 << 19, 45
 
 
-def _frequent(pairs: np.ndarray, slot: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The up to ``most`` most frequent pairs, and the slot of each.
+def _frequent(pairs: np.ndarray, free: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The up to ``most`` most frequent pairs, and at each place its pair's number among them or -1.
 
     A slot counts, exactly, one of the pairs that hash to it; the others wait for a later round.
     """
+    slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(SHIFT)).astype(np.int64)
     held = np.zeros(SLOTS, np.uint64)
     held[slot] = pairs
-    counts = np.bincount(slot[held[slot] == pairs], minlength=SLOTS)
+    own = (held[slot] == pairs) & free
+    counts = np.bincount(slot[own], minlength=SLOTS)
     found = np.flatnonzero(counts >= least)
     if len(found) > most:
         found = found[np.argsort(-counts[found], kind="stable")[:most]]
-    return held[found], found
+    number = np.full(SLOTS, -1, np.int32)
+    number[found] = np.arange(len(found))
+    place = number[slot]
+    place[~own] = -1
+    return held[found], place
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -59,29 +65,22 @@ def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, least: i
         free[starts[1:][starts[1:] > 0] - 1] = False  # a document's last symbol begins no pair
         free = free[:-1]
         pairs = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int32)
-        chosen, slots = _frequent(pairs[free], slot[free], least, min(8192, room - made))
+        chosen, place = _frequent(pairs, free, least, min(8192, room - made))
         if not len(chosen):
             break
-        rule = np.full(SLOTS, -1, np.int32)
-        rule[slots] = np.arange(len(chosen))
-        place = rule[slot]
-        hit = (place >= 0) & free
-        hit[hit] = chosen[place[hit]] == pairs[hit]
         # In a run of hits every second one is replaced, from its start on: replaced pairs don't overlap.
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(place >= 0)
         new = np.concatenate(([True], np.diff(at) > 1))
         run = at[new][np.cumsum(new) - 1]
         at = at[(at - run) % 2 == 0]
-        symbols = symbols.copy()
-        symbols[at] = np.uint64(first + made) + place[at].astype(np.uint64)
+        symbols[at] = place[at].astype(np.uint64) + np.uint64(first + made)
         kept = np.ones(len(symbols), bool)
         kept[at + 1] = False
         moved = np.concatenate(([0], np.cumsum(kept)))
         symbols, starts = symbols[kept], moved[starts]
         rules.append(chosen)
         made += len(chosen)
-        if len(at) < 0.02 * len(symbols):
+        if len(at) < 0.05 * len(symbols):
             break
     flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     return symbols, starts, np.column_stack((flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF))).astype("<u4"), first
@@ -164,8 +163,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col
             data = encode_shard(doc_ids, ids, np.concatenate(([0], np.cumsum(counts))))
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["shard", "n_docs", "n_ids", "data"])
 
-        for doc_ids, texts in pieces(batches, 8 << 20):
-            ids, bounds = encoder(vocabulary).encode(pa.array(texts, pa.large_string()))
+        for part in slices(batches, 8 << 20):
+            doc_ids = part.column(0)
+            ids, bounds = encoder(vocabulary).encode(part.column(1))
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             counts = np.diff(bounds) + 1
             doc_ids = doc_ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)

@@ -22,7 +22,7 @@ class WordEncoder:
     """For byte-level vocabularies that lower the case, drop white space and close words with a suffix."""
 
     #: Words kept in each of two generations.
-    KEPT = 250_000
+    KEPT = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
