@@ -1,6 +1,59 @@
-STAGES = []
+"""A training corpus from raw documents: five stages, each one operator over all that the stage before kept.
+
+Toxic documents go, then exact copies, then near copies but one of each class;
+the sources are mixed to their target weights in whole documents, and the mix is
+packed into sequences. Each stage but the last returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.llm.common import remove, scratch
+from tessella.llm.exact_dedup import drop_copies
+from tessella.llm.mixing import mix, repeated
+from tessella.llm.near_dedup import drop_near_copies
+from tessella.llm.packing import packed_documents
+from tessella.llm.toxicity import drop_toxic
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs, n=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repeated(docs, mix(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packed_documents(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+#: Neither the toxicity model nor the tokenizer can be written in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the corpus; what stands between the stages is written to the shared folder and dropped."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark)
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)  # materialised: it no longer reads the folder
+    finally:
+        remove(spark, folder)

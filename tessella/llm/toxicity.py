@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,27 +243,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = sent.value
-        restorer = _restorer(sent.id, own)
-        return pd.Series([own.score(t or "", restorer) < threshold for t in texts], dtype=bool)
+        restorer = Restorer(own.counts)
+        for texts in batches:
+            yield pd.Series([own.score(t or "", restorer) < threshold for t in texts], dtype=bool)
 
     return docs.where(clean(F.col("text").cast("string")))
 
 
-_restorers: dict = {}
-
-
-def _restorer(key, model: Model) -> Restorer:
-    """One restorer for a model in a worker process."""
-    if key not in _restorers:
-        _restorers.clear()
-        _restorers[key] = Restorer(model.counts)
-    return _restorers[key]
-
-
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return scored(docs, fit(docs, labels)).select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
