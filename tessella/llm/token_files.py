@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from .common import cut, documents, remove, running_sums, scratch, slices
 
 MAGIC = b"RPG1"
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 #: Rounds of replacement, and how often a pair must occur for a rule to pay.
 ROUNDS, LEAST = 5, 16
 
 
 #: Slots in which pairs are counted.
-SLOTS, SHIFT = 1 << 19, 45
+SLOTS, SHIFT = 1 << 18, 46
 
 
 def _frequent(pairs: np.ndarray, free: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +163,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col
             data = encode_shard(doc_ids, ids, np.concatenate(([0], np.cumsum(counts))))
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["shard", "n_docs", "n_ids", "data"])
 
-        for part in slices(batches, 8 << 20):
+        for part in slices(batches, 12 << 20):
             doc_ids = part.column(0)
             ids, bounds = encoder(vocabulary).encode(part.column(1))
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))

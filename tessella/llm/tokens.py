@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import json
 import os
-from array import array
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -22,53 +22,80 @@ class WordEncoder:
     """For byte-level vocabularies that lower the case, drop white space and close words with a suffix."""
 
     #: Words kept in each of two generations.
-    KEPT = 400_000
+    KEPT = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        #: The model alone, for words that are written in its alphabet already.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = CharDelimiterSplit("\n")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.tail = {c: self._whole(c) for c in ",."}
-        #: Bytes that the byte-level alphabet writes as other characters: from 256 on, in order.
+        #: Ids of runs of ASCII marks, which are one token run wherever they follow letters.
+        self.tail: dict[str, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        #: Bytes that the byte-level alphabet writes as other characters: from 256 on, in order; 10 parts the words.
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
-        self.alphabet = {b: 256 + i for i, b in enumerate(odd)}
-        sample = "àßÿéª"
-        self.direct = bool(json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")) and self._direct(sample) == self._whole(sample)
+        self.alphabet = "".join(chr(256 + odd.index(b)) if b in odd and b != 10 else chr(b) for b in range(256))
+        sample = ["àßÿéª", "Words"]
+        self.direct = bool(suffix) and self._direct(sample) == list(map(self._whole, sample))
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _direct(self, word: str) -> bytes:
-        """The ids of a word of Latin-1 letters, which nothing but case and alphabet changes before the model."""
-        word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    @staticmethod
-    def _plain(word: str) -> bool:
-        return word.isalpha() and (word.isascii() or max(word) < "Ā")
+    def _direct(self, words: list[str]) -> list[bytes]:
+        """The ids of words of Latin-1 letters, which nothing but case and alphabet changes before the model."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 2048):
+            own = words[k : k + 2048]
+            written = "\n".join(own).lower()
+            if not written.isascii():
+                written = written.encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.bare.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u4")
+            ends = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(ends) != len(own) + 1:
+                out += map(self._whole, own)
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
     def _learn(self, words: list[str]) -> None:
-        young, old, odd = self.young, self.old, []
-        for word in words:
-            if (ids := old.get(word)) is not None:
+        young, old, plain, tailed, odd = self.young, self.old, [], [], []
+        for word, ids in zip(words, map(old.get, words)):
+            if ids is not None:
                 young[word] = ids
-            elif self.direct and self._plain(word):
-                young[word] = self._direct(word)
-            elif self.direct and word[-1:] in self.tail and self._plain(core := word[:-1]):
-                if (ids := young.get(core) or old.get(core)) is None:
-                    ids = self._direct(core)
-                young[core] = ids
-                young[word] = ids + self.tail[word[-1]]
+            elif not self.direct:
+                odd.append(word)
+            elif word.isalpha():
+                (plain if word.isascii() or max(word) < "Ā" else odd).append(word)
+            elif (core := word.rstrip(punctuation)).isalpha() and (core.isascii() or max(core) < "Ā"):
+                tailed.append((word, core))
+                if core not in young:
+                    young[core] = old.get(core)
+                    if young[core] is None:
+                        plain.append(core)
             else:
                 odd.append(word)
+        ascii_, rest = [w for w in plain if w.isascii()], [w for w in plain if not w.isascii()]
+        for part in (ascii_, rest):
+            young.update(zip(part, self._direct(part)))
         for word, made in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
             young[word] = np.asarray(made.ids, "<u4").tobytes()
+        for word, core in tailed:
+            if (ids := self.tail.get(tail := word[len(core) :])) is None:
+                ids = self._whole(tail)
+                if len(self.tail) < 10_000:
+                    self.tail[tail] = ids
+            young[word] = young[core] + ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text begins in them, and the end). Null is empty."""
@@ -82,16 +109,11 @@ class WordEncoder:
             ids = list(map(self.young.__getitem__, distinct))
         if len(self.young) > self.KEPT:
             self.old, self.young = self.young, {}
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        starts = np.cumsum(sizes) - sizes
-        table = np.frombuffer(b"".join(ids), "<u4")
-        codes = numbered.indices.to_numpy()
-        own = sizes[codes]
-        ends = np.cumsum(own)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts[codes] - (ends - own), own) + np.arange(total)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        return table[at], bounds
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) >> 2)))
+        table = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        laid = table.take(numbered.indices)
+        bounds = laid.offsets.to_numpy()[np.concatenate(([0], np.cumsum(counts)))]
+        return laid.flatten().to_numpy(), bounds
 
 
 @cache
