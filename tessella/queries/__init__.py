@@ -1,4 +1,5 @@
 """The engine's queries by name, and their SQL."""
 
+MODULES: tuple = ()
 QUERIES: dict = {}
 ORACLES: dict = {}
