@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, cut
+
+__all__ = ["components", "cut"]
+#: Rows of ids that may be sent to every executor; larger sides are joined by a shuffle.
+MOST_SENT = 2_000_000
 #: ASCII white space, as the operators' contracts spell it.
 SPACE = "\\x20\\x09-\\x0D"
 #: One word.
@@ -25,17 +28,13 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` stored reliably in the shared checkpoint folder, its lineage cut.
+def sendable(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``df``, of a few fixed-width columns, cut from lineage; marked for broadcast if it has at most ``most`` rows.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session names none (tests on one machine).
+    With more rows, the join that it is the side of shuffles both sides.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tessella-checkpoints"))
-    return df.checkpoint()
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def scratch(spark: SparkSession) -> str:
@@ -76,38 +75,6 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], **sums: str)
     return summed.join(starts, same, "left").select(*df.columns, *[(F.col(f"_i_{out}") + F.col(f"_b_{out}")).cast("long").alias(out) for out in sums])
 
 
-def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component) of every vertex: the smallest id that links (a, b) reach.
-
-    Alternates two contractions until nothing changes: every edge's larger end
-    is hung under the smallest neighbour of the other, which halves the depth of
-    chains each round; each round is cut from lineage. A vertex without links is
-    its own component; null ids never link.
-    """
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = cut(edges)
-    seen = state(edges)
-    while True:
-        # Larger neighbours of every vertex go under its smallest neighbour (or itself).
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = least.where("m < u").select("u", F.col("m").alias("v"))
-        large = star.union(kept).where("u <> v").distinct()
-        # Smaller neighbours go under the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        edges, before, seen = after, seen, state(after)
-        if seen == before:
-            break
-    roots = edges.groupBy("u").agg(F.min("v").alias("_root"))
-    return vertices.select("id").join(roots, F.col("id") == F.col("u"), "left").select("id", F.coalesce("_root", "id").alias("component"))
-
-
 def pieces(batches, limit: int = 1 << 21):
     """(first column's values, texts) of Arrow batches, as slices() deals them; null texts are empty."""
     for part in slices(batches, limit):

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, partitions, running_sums, whole_text
+from .common import cut, documents, running_sums, sendable, whole_text
 
 #: Characters in a block.
 BLOCK = 4096
@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", keep: str = "max", bloc
 def drop_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``; rows with a null id stay."""
     gone = exact_dedup(docs, id_col).where("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return docs.join(sendable(gone), id_col, "left_anti").select(docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents, running_sums, whole_text
+from .common import WORD, cut, documents, running_sums, sendable, whole_text
 
 #: Weights of the sources in order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -73,7 +73,7 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
     counts = mixed.select("doc_id", times.alias("_times")).where("_times > 0")
-    return docs.join(counts, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    return docs.join(sendable(counts), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import components, cut, documents, pieces
+from .common import components, cut, documents, pieces, sendable
 from .quality import _mixed
 
 #: Coordinates in a band, and bands: a pair at 0.8 shares none with a probability of 1.3e-7.
 ROWS, BANDS = 5, 40
 #: Members up to which a bucket proposes all pairs, and members in a block of a larger one.
 SMALL, BLOCK = 8, 256
-#: Ids that may be sent to every executor to pick documents; more are met by a join.
-MOST_SENT = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,20 +115,19 @@ def _sketched(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, set) of the documents whose id is in ``wanted``, which stands in the checkpoint folder."""
+    """(id, set) of the documents whose id is in ``wanted``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in pieces(batches):
             shingles, bounds = shingle_sets(texts, n)
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _signed(shingles))], ["id", "set"])
 
-    side = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
-    return docs.join(side.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(make, "id long, set array<long>")
+    return docs.join(sendable(wanted.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(make, "id long, set array<long>")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = _sets(docs, wanted, n)
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
@@ -230,7 +227,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, id_col: str
     if not many.isEmpty():
         comps = cut(comps)
         dealt = cut(_blocks(many.select("key", "id", "pivot"), comps, block))
-        sets = _sets(own, cut(dealt.select("id").distinct()), n)
+        sets = _sets(own, dealt.select("id").distinct(), n)
         more = dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(lambda g: _cross_links(g, percent), "a long, b long")
         comps = components(ids, links.union(cut(more)))
     joined = of.join(comps, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -240,7 +237,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, id_col: str
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each class, and rows without an id."""
     gone = near_duplicates(docs, n, percent).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sendable(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
