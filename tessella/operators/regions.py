@@ -67,7 +67,7 @@ def region_stats(labels: DataFrame, gsd: float = 1.0) -> DataFrame:
 
 
 def inverse(mask: DataFrame, height: int, width: int) -> DataFrame:
-    grid = mask.sparkSession.range(height).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).cast("long").alias("c"))
+    grid = mask.sparkSession.range(height).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("c"))
     return grid.join(mask.select("r", "c"), ["r", "c"], "left_anti")
 
 

@@ -1,5 +1,7 @@
 """The engine's queries by name, and their SQL."""
 
-MODULES: tuple = ()
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import raster
+
+MODULES = (raster,)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
