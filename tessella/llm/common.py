@@ -81,8 +81,8 @@ def pieces(batches, limit: int = 1 << 21):
         yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
 
 
-def slices(batches, limit: int):
-    """Arrow batches with a bounded number of bytes in their second column; a single longer value comes alone."""
+def slices(batches, limit: int, rows: int = 4096):
+    """Arrow batches with a bounded number of rows and of bytes in their second column; a single longer value comes alone."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -92,6 +92,6 @@ def slices(batches, limit: int):
         start = 0
         while start < len(sizes):
             base = total[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(total, base + limit, "right")))
+            end = min(start + rows, max(start + 1, int(np.searchsorted(total, base + limit, "right"))))
             yield batch.slice(start, end - start)
             start = end
