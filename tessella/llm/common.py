@@ -95,3 +95,19 @@ def slices(batches, limit: int, rows: int = 4096):
             end = min(start + rows, max(start + 1, int(np.searchsorted(total, base + limit, "right"))))
             yield batch.slice(start, end - start)
             start = end
+    tidy()
+
+
+def tidy() -> None:
+    """Gives the memory that a worker has freed back to the system: workers stay, and share their executor's limit."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

@@ -172,6 +172,7 @@ def _cross_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
         if p != q:
             root[max(p, q)] = min(p, q)
             out.append((int(ids[a]), int(ids[b])))
+    del common, union
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 

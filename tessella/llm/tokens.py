@@ -97,6 +97,10 @@ class WordEncoder:
                     self.tail[tail] = ids
             young[word] = young[core] + ids
 
+    def forget(self) -> None:
+        """Drops the known words."""
+        self.young, self.old = {}, {}
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text begins in them, and the end). Null is empty."""
         words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
