@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, remove, running_sums, scratch, slices
+from .tokens import encoder
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 19
@@ -154,8 +155,6 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import encoder
-
         number, held, size = TaskContext.get().partitionId() << 24, [], 0
 
         def out() -> pa.RecordBatch:
@@ -185,7 +184,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col
             yield out()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(shards, "shard long, n_docs long, n_ids long, data binary").write.option("compression", "zstd").parquet(folder)
+    ordered.mapInArrow(shards, "shard long, n_docs long, n_ids long, data binary").write.option("compression", "none").parquet(folder)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
