@@ -38,7 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packed_documents(docs, public_tokenizers.path(VOCABULARY), warm=False)  # other stages share the workers' memory
+    return packed_documents(docs, public_tokenizers.path(VOCABULARY), kept=50_000)  # the stages before have filled the executors' heaps
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

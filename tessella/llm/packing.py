@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, remove, running_sums, scratch, slices, tidy
+from .common import cut, documents, remove, running_sums, scratch, slices
+from .tokens import KEPT, encoder
 
 WINDOW = 2048
 SWEEPS = 30
@@ -32,21 +33,19 @@ MOST_SENT = 500_000
 _PIECES = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
 
 
-def tokenize(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", warm: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """The pieces of every text with their ids, written to ``folder`` and read again.
 
     A text's ids and ``end_id`` are cut every ``window`` ids. Null texts are empty and
-    have the end alone; ids may be null or repeat; other columns are ignored. ``warm``
-    workers keep the words that they know for their next task, and the memory.
+    have the end alone; ids may be null or repeat; other columns are ignored. Workers
+    remember the ids of twice ``kept`` words; fewer cost time and spare memory.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import encoder
-
         uid = TaskContext.get().partitionId() << 40
-        for part in slices(batches, 8 << 20):
+        for part in slices(batches, max(1, min(8, kept // 30_000)) << 20):
             doc_ids = part.column(0)
-            ids, bounds = encoder(vocabulary).encode(part.column(1))
+            ids, bounds = encoder(vocabulary, kept).encode(part.column(1))
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))
             counts = np.diff(bounds)
@@ -55,17 +54,14 @@ def tokenize(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, win
             start = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * window
             length = np.minimum(window, counts[owner] - start)
             whole, wide = memoryview(ids.tobytes()), bool(len(ids)) and int(ids.max()) >> 16 > 0
-            kept, each = memoryview(ids.astype("<u4" if wide else "<u2").tobytes()), 4 if wide else 2
+            stored, each = memoryview(ids.astype("<u4" if wide else "<u2").tobytes()), 4 if wide else 2
             a = bounds[:-1][owner] + start
             spans = list(zip(a.tolist(), (a + length).tolist()))
             yield pa.RecordBatch.from_arrays([
                 pa.array(uid + np.arange(len(owner))), doc_ids.take(pa.array(owner)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(counts[owner]),
-                pa.array([zlib.crc32(whole[4 * i : 4 * j]) for i, j in spans], pa.int64()), pa.array(np.full(len(owner), wide)), pa.array([bytes(kept[each * i : each * j]) for i, j in spans], pa.binary()),
+                pa.array([zlib.crc32(whole[4 * i : 4 * j]) for i, j in spans], pa.int64()), pa.array(np.full(len(owner), wide)), pa.array([bytes(stored[each * i : each * j]) for i, j in spans], pa.binary()),
             ], schema=_PIECES)
             uid += len(owner)
-        if not warm:
-            encoder(vocabulary).forget()
-            tidy()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = narrow.mapInArrow(rows, "uid long, doc_id long, start long, length int, doc_tokens long, ids_crc32 long, wide boolean, ids binary")
@@ -248,11 +244,11 @@ def sequences(table: DataFrame, packed: DataFrame, window: int = WINDOW) -> Data
     return grouped.select("sequence_id", F.flatten("p.own").alias("input_ids"), F.col("p.doc_id").alias("doc_ids"), F.size(F.flatten("p.own")).alias("n_tokens"))
 
 
-def packed_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, warm: bool = True) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, kept: int = KEPT) -> DataFrame:
     """tokenize() and pack(), with the ids dropped again."""
     folder = scratch(docs.sparkSession)
     try:
-        return cut(pack(tokenize(docs, folder, vocabulary, window=window, warm=warm), window).drop("uid"))
+        return cut(pack(tokenize(docs, folder, vocabulary, window=window, kept=kept), window).drop("uid"))
     finally:
         remove(docs.sparkSession, folder)
 

@@ -21,10 +21,8 @@ import pyarrow.compute as pc
 class WordEncoder:
     """For byte-level vocabularies that lower the case, drop white space and close words with a suffix."""
 
-    #: Words kept in each of two generations.
-    KEPT = 300_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -97,10 +95,6 @@ class WordEncoder:
                     self.tail[tail] = ids
             young[word] = young[core] + ids
 
-    def forget(self) -> None:
-        """Drops the known words."""
-        self.young, self.old = {}, {}
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text begins in them, and the end). Null is empty."""
         words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
@@ -111,7 +105,7 @@ class WordEncoder:
         if None in ids:
             self._learn([w for w, i in zip(distinct, ids) if i is None])
             ids = list(map(self.young.__getitem__, distinct))
-        if len(self.young) > self.KEPT:
+        if len(self.young) > self.kept:
             self.old, self.young = self.young, {}
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) >> 2)))
         table = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(ids), "<u4")))
@@ -120,7 +114,11 @@ class WordEncoder:
         return laid.flatten().to_numpy(), bounds
 
 
+#: Words kept in each of two generations: about 60 MB a hundred thousand.
+KEPT = 300_000
+
+
 @cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept: int = KEPT) -> WordEncoder:
     """One encoder for a worker process."""
-    return WordEncoder(path)
+    return WordEncoder(path, kept)
