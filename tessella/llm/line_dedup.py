@@ -236,7 +236,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         may = _all_keys(own, frequent, least)
     may = cut(may.distinct())
     # The counts by content decide.
-    exact = may.groupBy("key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_last")).where(F.col("_n") > most)
+    exact = cut(may.groupBy("key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_last")).where(F.col("_n") > most))
+    # Both sides are shuffled for the join, so that the skew join can split a hot line.
     gone = may.join(exact, "key").where("doc_id <> _last").groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
     return own.join(gone, "doc_id", "left").mapInArrow(_kept, "doc_id long, n_lines long, n_dropped long, kept_text string")
 
