@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, id_col: str
         sets = _sets(own, dealt.select("id").distinct(), n)
         more = dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(lambda g: _cross_links(g, percent), "a long, b long")
         comps = components(ids, links.union(cut(more)))
-    joined = of.join(comps, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # Cut, so that the join of a hot group of copies can be split.
+    joined = of.join(cut(comps), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return joined.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
