@@ -81,3 +81,20 @@ def distinct_headings(headings: Column, apart: float) -> Column:
     from .geo import separation
 
     return F.aggregate(headings, F.slice(headings, 1, 0), lambda kept, h: F.when(F.exists(kept, lambda k: separation(k, h) < apart), kept).otherwise(F.array_append(kept, h)))
+
+
+def insert_point(points: Column, x: Column, y: Column, reuse: float = 0.5) -> Column:
+    """The polyline with the nearest place to (x, y) on it as a vertex; a vertex nearer than ``reuse`` to that place serves."""
+
+    def foot(s: Column, i: Column) -> Column:
+        a, b = s["a"], s["b"]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        size = dx * dx + dy * dy
+        t = F.when(size > 0, F.least(F.greatest(((x - a["x"]) * dx + (y - a["y"]) * dy) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        px, py = a["x"] + t * dx, a["y"] + t * dy
+        return F.struct(F.hypot(px - x, py - y).alias("d"), i.alias("i"), px.alias("x"), py.alias("y"))
+
+    best = F.array_min(F.transform(segments(points), foot))
+    place = F.struct(best["x"].alias("x"), best["y"].alias("y"))
+    near = F.exists(points, lambda p: F.hypot(p["x"] - best["x"], p["y"] - best["y"]) < reuse)
+    return F.when((F.size(points) < 2) | near, points).otherwise(F.concat(F.slice(points, F.lit(1), best["i"] + 1), F.array(place), F.slice(points, best["i"] + 2, F.size(points))))

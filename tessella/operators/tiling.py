@@ -109,3 +109,20 @@ def pyramid_level(tiles: DataFrame) -> DataFrame:
     """Parents (z-1, x div 2, y div 2) with their children's count, value average and covering share."""
     parents = tiles.groupBy((F.col("z") - 1).alias("z"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"))
     return parents.agg(F.count("*").alias("children"), F.sum("value").alias("total")).withColumn("value", F.col("total") / 4).drop("total")
+
+
+def warped(target: DataFrame, source: DataFrame, row: Column, col: Column, value: str) -> DataFrame:
+    """(r, c, value): a target grid (r, c) filled bilinearly from a source raster at the places that ``row`` and ``col`` map it to.
+
+    Each target pixel asks its four source pixels, which meet by equality; places next to
+    missing pixels take what there is, weighted; places without any are null.
+    """
+    asked = target.select("r", "c", row.alias("_y"), col.alias("_x")).withColumn("_r", F.floor("_y")).withColumn("_c", F.floor("_x"))
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    asked = asked.withColumn("s", F.explode(corners))
+    near = lambda place, base, step: 1 - F.abs(F.col(place) - F.col(base) - F.col(step))
+    asked = asked.withColumn("_w", near("_y", "_r", "s.i") * near("_x", "_c", "s.j")).where("_w > 0")
+    own = source.select(F.col("r").alias("_sr"), F.col("c").alias("_sc"), F.col(value).alias("_v"))
+    met = asked.join(own, (F.col("_r") + F.col("s.i") == F.col("_sr")) & (F.col("_c") + F.col("s.j") == F.col("_sc")))
+    sums = met.groupBy("r", "c").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias(value))
+    return target.select("r", "c").join(sums, ["r", "c"], "left")

@@ -155,3 +155,43 @@ def overridden(baseline: DataFrame, saved: DataFrame, slices: DataFrame, size: f
     mid = baseline.withColumnsRenamed({"mx": "x", "my": "y"})
     hit = spatial.points_in_boxes(mid, slices, size, size).select("line").distinct()
     return baseline.join(hit, "line", "left_anti").unionByName(saved, allowMissingColumns=True)
+
+
+def needs_clean(length, width, skip_share, inliers, samples, skip_rate: float = 0.22, thin: float = 3.6):
+    """Whether a measured line should be measured again on cleaned imagery; one that has no measure should.
+
+    Much of it is blocked; or some of it is, and it came out thin; or hardly a station
+    held on a line of some length. Lines under 8 m never.
+    """
+    few = (inliers < F.greatest(F.lit(4), F.floor(0.12 * samples))) & (length >= 20)
+    blocked = (skip_share >= skip_rate) | ((skip_share >= 0.10) & (width <= thin))
+    return (length >= 8) & (width.isNull() | F.coalesce(blocked | few, F.lit(True)))
+
+
+def accept_clean(before, after, widen: float = 0.45, lot: float = 18.0):
+    """Whether the measure on cleaned imagery stands: wider by a margin, but not beyond what the first one makes likely."""
+    cap = F.when(before >= lot, F.greatest(F.lit(lot), before * 1.35)).when(before >= 6, F.least(before + 2.2, F.lit(12.0))).otherwise(F.least(F.lit(10.5), F.greatest(before + 6, F.lit(8.5))))
+    return (after >= before + widen) & (after <= cap + 1e-6)
+
+
+def chunked(lengths: DataFrame, line: str, length: str, most: float) -> DataFrame:
+    """(line, part, s0, s1): lines cut into equal parts no longer than ``most``."""
+    n = F.greatest(F.lit(1), F.ceil(F.col(length) / most)).cast("int")
+    parts = lengths.withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return parts.select(line, "part", (F.col(length) * F.col("part") / F.col("_n")).alias("s0"), (F.col(length) * (F.col("part") + 1) / F.col("_n")).alias("s1"))
+
+
+def proposed(evidence: DataFrame, cover: DataFrame, height: int, width: int, gsd: float, least_m: float, widest_m: float, opening: int = 5, radius: int = 12) -> DataFrame:
+    """(comp, length_m, width_m): chains of evidence that no line covers, long and narrow enough to be missing roads.
+
+    A chain's length is its number of pixels, its width twice the mean depth of its pixels.
+    """
+    from ..operators.skeleton import chains, thinned
+
+    rest = evidence.select("r", "c").join(cover.select("r", "c"), ["r", "c"], "left_anti")
+    rest = stencil.dilate(stencil.erode(rest, stencil.ellipse(opening), height, width), stencil.ellipse(opening), height, width)
+    edge = stencil.dilate(rest, stencil.square(3), height, width).join(rest, ["r", "c"], "left_anti")
+    depth = stencil.distance_within(rest, edge, radius).select("r", "c", F.coalesce(F.sqrt("d2"), F.lit(float(radius))).alias("d"))
+    found = chains(thinned(rest), width).join(depth, ["r", "c"]).groupBy("comp").agg(F.count("*").alias("n"), F.avg("d").alias("d"))
+    out = found.where("n >= 4").select("comp", (F.col("n") * gsd).alias("length_m"), (2 * F.col("d") * gsd).alias("width_m"))
+    return out.where((F.col("length_m") >= least_m) & (F.col("width_m") <= widest_m))

@@ -248,3 +248,51 @@ def split_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Touching objects told apart by their cores."""
     dense = raster(spark, sf_dir).where("q >= 118").select("r", "c")
     return regions.split_instances(dense, stencil.ellipse(3), height(spark, sf_dir), WIDTH)
+
+
+@query(
+    f"""{sql('raster')}, t AS (SELECT r, c, r + 0.25::DOUBLE AS y, c + 0.5::DOUBLE AS x FROM raster WHERE r % 3 = 0),
+    a AS (SELECT t.*, s.q, (1 - abs(y - s.r)) * (1 - abs(x - s.c)) AS w FROM t JOIN raster s ON s.r BETWEEN floor(y) AND floor(y) + 1 AND s.c BETWEEN floor(x) AND floor(x) + 1)
+    SELECT r, c, round(sum(w * q) / sum(w), 6) AS q FROM a WHERE w > 0 GROUP BY r, c"""
+)
+def warp_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resampling at shifted places, four neighbours each."""
+    from ..operators.tiling import warped
+
+    own = raster(spark, sf_dir)
+    return warped(own.where("r % 3 = 0"), own, F.col("r") + 0.25, F.col("c") + 0.5, "q").select("r", "c", F.round("q", 6).alias("q"))
+
+
+@query(
+    f"""{sql('lines')}, n AS (SELECT line, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS d FROM lines WINDOW w AS (PARTITION BY line ORDER BY seq)),
+    t AS (SELECT line, coalesce(sum(d), 0.0) AS length FROM n GROUP BY line), k AS (SELECT *, greatest(1, CAST(ceil(length / 380.0::DOUBLE) AS BIGINT)) AS n FROM t), e AS (SELECT *, unnest(range(0, n)) AS part FROM k)
+    SELECT line, CAST(part AS BIGINT) AS part, round(length * part / n, 4) AS s0, round(length * (part + 1) / n, 4) AS s1 FROM e"""
+)
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.series import arc_length
+
+    whole = arc_length(lines(spark, sf_dir), "line", "seq").groupBy("line").agg(F.max("s").alias("length"))
+    return roads.chunked(whole, "line", "length", 380.0).select("line", F.col("part").cast("long").alias("part"), F.round("s0", 4).alias("s0"), F.round("s1", 4).alias("s1"))
+
+
+@query(
+    """WITH m AS (SELECT o_orderkey AS id, (o_orderkey % 60)::DOUBLE AS length, CASE WHEN o_orderkey % 11 > 0 THEN (o_orderkey % 13)::DOUBLE END AS width, (o_orderkey % 30) / 100.0::DOUBLE AS skip, o_orderkey % 9 AS inliers, o_orderkey % 50 + 1 AS samples, (o_orderkey % 17)::DOUBLE AS after FROM orders)
+    SELECT id, length >= 8 AND (width IS NULL OR skip >= 0.22 OR (skip >= 0.10 AND width <= 3.6) OR (inliers < greatest(4, floor(0.12::DOUBLE * samples)) AND length >= 20)) AS needs,
+           after >= width + 0.45 AND after <= CASE WHEN width >= 18 THEN greatest(18.0, width * 1.35) WHEN width >= 6 THEN least(width + 2.2, 12.0) ELSE least(10.5, greatest(width + 6, 8.5)) END + 1e-6 AS accepts FROM m"""
+)
+def clean_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines are measured again, and whether the second measure stands."""
+    k = F.col("o_orderkey")
+    own = table(spark, sf_dir, "orders").select(
+        k.alias("id"), (k % 60).cast("double").alias("length"), F.when(k % 11 > 0, (k % 13).cast("double")).alias("width"), ((k % 30) / 100.0).alias("skip"),
+        (k % 9).alias("inliers"), (k % 50 + 1).alias("samples"), (k % 17).cast("double").alias("after"),
+    )
+    needs = roads.needs_clean(F.col("length"), F.col("width"), F.col("skip"), F.col("inliers"), F.col("samples"))
+    return own.select("id", needs.alias("needs"), roads.accept_clean(F.col("width"), F.col("after")).alias("accepts"))
+
+
+@query()
+def missing_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence that no line covers, thinned to chains of some length."""
+    own = raster(spark, sf_dir)
+    return roads.proposed(own.where("q >= 100").select("r", "c"), own.where("r % 16 = 0").select("r", "c"), height(spark, sf_dir), WIDTH, 0.3, 1.2, 9.0)

@@ -259,3 +259,27 @@ def test_streams_do_each_file_once(spark, tmp_path):
     spark.range(3).write.mode("append").parquet(str(folder))
     incremental.drain(stream(), work, str(tmp_path / "state"))
     assert sum(seen) == 8 and seen[-1] == 3
+
+
+def test_thinning_keeps_lines_connected(spark):
+    from tessella.operators.skeleton import chains, thinned
+
+    bar = frame(spark, [(r, c) for r in range(4, 9) for c in range(2, 30)], "r long, c long")
+    line = thinned(bar)
+    assert 15 <= line.count() <= 40
+    assert regions.label_regions(line, 40, 8).select("comp").distinct().count() == 1
+    assert chains(line, 40).count() >= 10
+
+
+def test_inserted_vertex(spark):
+    points = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(0.0).alias("y")) for x in (0, 10, 20)])
+    out = spark.range(1).select(vector.insert_point(points, F.lit(13.0), F.lit(4.0)), vector.insert_point(points, F.lit(10.2), F.lit(1.0))).first()
+    assert [p["x"] for p in out[0]] == [0, 10, 13, 20] and len(out[1]) == 3
+
+
+def test_missing_road_is_proposed(spark):
+    evidence = frame(spark, [(r, c) for r in range(10, 17) for c in range(3, 55)], "r long, c long")
+    none = frame(spark, [], "r long, c long")
+    found = roads.proposed(evidence, none, 40, 60, 1.0, 20, 12).collect()
+    assert len(found) == 1 and found[0]["length_m"] > 35
+    assert roads.proposed(evidence, evidence, 40, 60, 1.0, 20, 12).count() == 0
