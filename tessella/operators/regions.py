@@ -137,3 +137,45 @@ def rings(labels: DataFrame) -> DataFrame:
     return outlines(labels).groupBy("comp").applyInPandas(trace, "comp long, part int, outer boolean, ring array<struct<x:double,y:double>>")
 
 
+
+
+def watershed(labels: DataFrame, apart: int = 3, radius: int = 16) -> DataFrame:
+    """(r, c, comp, part): regions parted at their waists; pixels where two parts meet are left out as a gap.
+
+    Seeds are the deepest pixels within ``apart``, the first in reading order of equally
+    deep ones. Each region floods from its seeds, the deepest pixels first, in a task of its own.
+    """
+    from .stencil import dilate, distance_within, square
+
+    inside = labels.select("r", "c")
+    bounds = labels.agg(F.max("r"), F.max("c")).first()
+    edge = dilate(inside.select((F.col("r") + 1).alias("r"), (F.col("c") + 1).alias("c")), square(3), (bounds[0] or 0) + 3, (bounds[1] or 0) + 3).select((F.col("r") - 1).alias("r"), (F.col("c") - 1).alias("c")).join(inside, ["r", "c"], "left_anti")
+    deep = labels.join(distance_within(inside, edge, radius), ["r", "c"]).withColumn("d2", F.coalesce("d2", F.lit(radius * radius)))
+
+    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        depth = {(r, c): d for r, c, d in zip(pdf["r"], pdf["c"], pdf["d2"])}
+        seeds: list[tuple[int, int]] = []
+        for place in sorted(depth, key=lambda p: (-depth[p], p)):
+            if all(abs(place[0] - s[0]) > apart or abs(place[1] - s[1]) > apart for s in seeds) and all(depth.get((place[0] + i, place[1] + j), 0) <= depth[place] for i in range(-apart, apart + 1) for j in range(-apart, apart + 1)):
+                seeds.append(place)
+        part = {s: k for k, s in enumerate(seeds)}
+        todo = [(-depth[s], s) for s in seeds]
+        heapq.heapify(todo)
+        while todo:
+            _, (r, c) = heapq.heappop(todo)
+            own = part[r, c]
+            if own < 0:
+                continue
+            for i in (-1, 0, 1):
+                for j in (-1, 0, 1):
+                    n = (r + i, c + j)
+                    if n in depth and n not in part:
+                        around = {part[m] for a in (-1, 0, 1) for b in (-1, 0, 1) if part.get(m := (n[0] + a, n[1] + b), -1) >= 0}
+                        part[n] = own if len(around) == 1 else -1
+                        heapq.heappush(todo, (-depth[n], n))
+        comp = int(pdf["comp"].iloc[0])
+        return pd.DataFrame([(r, c, comp, k) for (r, c), k in part.items() if k >= 0], columns=["r", "c", "comp", "part"])
+
+    return deep.select("r", "c", "comp", "d2").groupBy("comp").applyInPandas(flood, "r long, c long, comp long, part int")

@@ -118,3 +118,23 @@ def stations(vertices: DataFrame, line: str, seq: str, step: float) -> DataFrame
     at = F.col("i") * gap
     share = (at - F.col("s")) / (F.col("s1") - F.col("s"))
     return made.select(line, "i", at.alias("s"), (F.col("x") + share * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + share * (F.col("y1") - F.col("y"))).alias("y"))
+
+
+def exception_runs(series: DataFrame, line: str, place: str, value: str, base: str, least_delta: float = 2.0, relative: float = 0.30, most_gap: int = 2, least: int = 3, most_spread: float = 2.5) -> DataFrame:
+    """(line, run, first, last, n, level): stretches that stay away from the base width, on one side of it, and are steady.
+
+    A place is strong if it differs by more than ``least_delta`` and by ``relative`` of the
+    base; short gaps are bridged; the median of a run is its level, and the median distance
+    to that is its spread.
+    """
+    away = F.col(value) - F.col(base)
+    strong = F.abs(away) >= F.greatest(F.lit(least_delta), relative * F.col(base))
+    sided = series.withColumn("_side", F.when(strong & (away > 0), 1).when(strong, -1))
+    w = Window.partitionBy(line).orderBy(place)
+    numbered = sided.withColumn("_i", F.row_number().over(w)).where("_side is not null")
+    each = Window.partitionBy(line, "_side").orderBy("_i")
+    gap = F.col("_i") - F.lag("_i").over(each)
+    begun = numbered.withColumn("_b", F.when(gap.isNull() | (gap > most_gap + 1), 1).otherwise(0)).withColumn("run", F.sum("_b").over(each.rowsBetween(Window.unboundedPreceding, 0)))
+    level = begun.groupBy(line, "_side", "run").agg(F.min("_i").alias("first"), F.max("_i").alias("last"), F.median(value).alias("level"))
+    spread = begun.join(level, [line, "_side", "run"]).groupBy(line, "_side", "run", "first", "last", "level").agg(F.median(F.abs(F.col(value) - F.col("level"))).alias("spread"))
+    return spread.withColumn("n", F.col("last") - F.col("first") + 1).where((F.col("n") >= least) & (F.col("spread") <= most_spread)).drop("spread").withColumnRenamed("_side", "side")

@@ -75,3 +75,21 @@ def replayed(base: DataFrame, log: DataFrame, version: int) -> DataFrame:
     last = records.state_at(log, ["r", "c"], "value", "seq", version)
     both = base.select("r", "c", F.lit(1).alias("b")).join(last, ["r", "c"], "full_outer")
     return both.where(F.coalesce("value", "b") == 1).select("r", "c")
+
+
+def grained(pixels: DataFrame, mask: DataFrame, cell: int, strength: float, k: int = 1, band: str = "v") -> DataFrame:
+    """Masked pixels with the grain of unmasked ones in their cell: what those differ by from the mean of their box.
+
+    Donors are dealt in hash order, round and round; a cell without donors keeps its values.
+    """
+    from pyspark.sql import Window
+
+    marked = pixels.join(mask.select("r", "c", F.lit(True).alias("hole")), ["r", "c"], "left").withColumn("_cell", F.struct(F.floor(F.col("r") / cell).alias("i"), F.floor(F.col("c") / cell).alias("j")))
+    free = F.when(F.col("hole").isNull(), F.col(band).cast("double"))
+    sums = stencil.box(stencil.box(marked, k, "_n", F.sum, free.isNotNull().cast("int")), k, "_s", F.sum, F.coalesce(free, F.lit(0.0)))
+    order = Window.partitionBy("_cell").orderBy(F.xxhash64("r", "c"), "r", "c")
+    donors = sums.where("hole is null").select("_cell", (F.row_number().over(order) - 1).alias("_k"), (F.col(band) - F.col("_s") / F.col("_n")).alias("_grain"))
+    count = donors.groupBy("_cell").agg(F.count("*").alias("_of"))
+    asked = sums.where("hole").select("r", "c", "_cell", (F.row_number().over(order) - 1).alias("_i")).join(count, "_cell").withColumn("_k", F.col("_i") % F.col("_of"))
+    grain = asked.join(donors, ["_cell", "_k"]).select("r", "c", "_grain")
+    return pixels.join(grain, ["r", "c"], "left").withColumn(band, F.col(band) + strength * F.coalesce("_grain", F.lit(0.0))).drop("_grain")

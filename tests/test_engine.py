@@ -283,3 +283,24 @@ def test_missing_road_is_proposed(spark):
     found = roads.proposed(evidence, none, 40, 60, 1.0, 20, 12).collect()
     assert len(found) == 1 and found[0]["length_m"] > 35
     assert roads.proposed(evidence, evidence, 40, 60, 1.0, 20, 12).count() == 0
+
+
+def test_watershed_parts_two_discs(spark):
+    discs = {(r, c) for r in range(30) for c in range(50) if (r - 14) ** 2 + (c - 14) ** 2 <= 100 or (r - 14) ** 2 + (c - 32) ** 2 <= 100}
+    labels = regions.label_regions(frame(spark, list(discs), "r long, c long"), 50, 8)
+    assert labels.select("comp").distinct().count() == 1
+    parts = {(x["r"], x["c"]): x["part"] for x in regions.watershed(labels).collect()}
+    assert parts[14, 14] != parts[14, 32] and len(set(parts.values())) == 2 and len(parts) < len(discs)
+
+
+def test_grain_comes_from_the_cell(spark):
+    px = frame(spark, [(r, c, float((r + c) % 2 * 10)) for r in range(8) for c in range(8)], "r long, c long, v double")
+    hole = frame(spark, [(3, 3), (3, 4)], "r long, c long")
+    out = {(x["r"], x["c"]): x["v"] for x in ground.grained(px, hole, 8, 1.0).collect()}
+    assert out[3, 3] != 0.0 and out[0, 1] == 10.0 and len(out) == 64
+
+
+def test_exception_runs(spark):
+    widths = [6, 6, 6, 12, 12.5, 6, 12, 6, 6, 2, 2, 2, 6]
+    df = frame(spark, [(1, i, float(w), 6.0) for i, w in enumerate(widths)], "line long, i long, w double, base double")
+    assert got(series.exception_runs(df, "line", "i", "w", "base"), "side", "first", "last", "level") == [(-1, 10, 12, 2.0), (1, 4, 7, 12.0)]
