@@ -56,16 +56,19 @@ def crossings(segments: DataFrame, size_x: float, size_y: float, line: str = "li
     """
     boxed = segments.withColumns({"bx0": F.least("x0", "x1"), "bx1": F.greatest("x0", "x1"), "by0": F.least("y0", "y1"), "by1": F.greatest("y0", "y1")})
     binned = boxed.withColumn("_bx", F.explode(cells(F.col("bx0"), F.col("bx1"), size_x))).withColumn("_by", F.explode(cells(F.col("by0"), F.col("by1"), size_y)))
-    a = binned.select("_bx", "_by", *[F.col(c).alias(f"a_{c}") for c in (line, "x0", "y0", "x1", "y1")])
-    b = binned.select("_bx", "_by", *[F.col(c).alias(f"b_{c}") for c in (line, "x0", "y0", "x1", "y1")])
+    named = (line, "x0", "y0", "x1", "y1", "bx0", "bx1", "by0", "by1")
+    a, b = (binned.select("_bx", "_by", *[F.col(c).alias(f"{s}_{c}") for c in named]) for s in "ab")
     met = a.join(b, ["_bx", "_by"]).where(F.col(f"a_{line}") < F.col(f"b_{line}"))
     dax, day, dbx, dby = F.expr("a_x1 - a_x0"), F.expr("a_y1 - a_y0"), F.expr("b_x1 - b_x0"), F.expr("b_y1 - b_y0")
     cross = dax * dby - day * dbx
     ex, ey = F.expr("b_x0 - a_x0"), F.expr("b_y0 - a_y0")
     met = met.where(cross != 0).withColumn("_t", (ex * dby - ey * dbx) / cross).withColumn("_u", (ex * day - ey * dax) / cross)
     met = met.where("_t between 0 and 1 and _u between 0 and 1")
-    x, y = F.col("a_x0") + F.col("_t") * dax, F.col("a_y0") + F.col("_t") * day
-    return met.select(F.col(f"a_{line}").alias("line_a"), F.col(f"b_{line}").alias("line_b"), x.alias("x"), y.alias("y"), "a_x0", "a_y0", "b_x0", "b_y0").distinct().drop("a_x0", "a_y0", "b_x0", "b_y0")
+    # Held inside both boxes against rounding, the crossing lies in one of the cells that both are in; only that one reports it.
+    held = lambda v, low, high: F.least(F.greatest(v, F.greatest(f"a_b{low}", f"b_b{low}")), F.least(f"a_b{high}", f"b_b{high}"))
+    met = met.withColumn("x", held(F.col("a_x0") + F.col("_t") * dax, "x0", "x1")).withColumn("y", held(F.col("a_y0") + F.col("_t") * day, "y0", "y1"))
+    met = met.where((F.floor(F.col("x") / size_x) == F.col("_bx")) & (F.floor(F.col("y") / size_y) == F.col("_by")))
+    return met.select(F.col(f"a_{line}").alias("line_a"), F.col(f"b_{line}").alias("line_b"), "x", "y")
 
 
 def within(points: DataFrame, hubs: DataFrame, reach: float) -> DataFrame:
