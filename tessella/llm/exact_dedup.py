@@ -6,10 +6,10 @@ text are then paired, the distinct pairs sorted and named in the same way, and
 so on until a text has one name left. Texts with an equal number of rounds and
 an equal last name are equal, and only those: a name stands for one content.
 
-Blocks travel under a 64-bit hash, so that whole texts cross the network once
-and copies are folded before they do. The hash decides nothing: the smallest
-and largest content under a hash are compared, and contents that share one are
-told apart by comparing the text itself.
+Blocks travel under a 64-bit hash; of blocks whose hash occurs again the text
+crosses the network too, copies folded before. The hash decides nothing: the
+smallest and largest content under a hash are compared, and contents that share
+one are told apart by comparing the text itself.
 """
 
 from __future__ import annotations
@@ -31,8 +31,12 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
 
 def _block_names(blocks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Names by hash; where contents share a hash, names by content too."""
-    seen = blocks.groupBy("hash").agg(F.min("block").alias("low"), F.max("block").alias("high"))
-    seen = cut(seen.select("hash", (F.col("low") != F.col("high")).alias("shared")))
+    counts = cut(blocks.groupBy("hash").agg(F.count("*").alias("n")))
+    # A hash that occurs once has one content; the others are compared.
+    again = blocks.join(sendable(counts.where("n > 1").select("hash")), "hash", "left_semi")
+    contents = again.groupBy("hash").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    differ = cut(contents.where("low <> high").select("hash"))
+    seen = counts.join(differ.withColumn("shared", F.lit(True)), "hash", "left").select("hash", F.coalesce("shared", F.lit(False)).alias("shared"))
     names = cut(_named(seen.where("not shared").select("hash"), ["hash"]))
     shared = seen.where("shared").select("hash")
     if shared.isEmpty():
