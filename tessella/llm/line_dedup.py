@@ -12,7 +12,6 @@ their content, so that neither a fingerprint nor a filter decides anything.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pandas as pd
