@@ -38,9 +38,9 @@ def _label_block(pdf: pd.DataFrame, connectivity: int) -> pd.DataFrame:
         new = label.copy()
         np.minimum.at(new, label[u], low)
         np.minimum.at(new, label[v], low)
-        while (jumped := new[new]).tolist() != new.tolist():
+        while not np.array_equal(jumped := new[new], new):
             new = jumped
-        if (new == label).all():
+        if np.array_equal(new, label):
             break
         label = new
     return pd.DataFrame({"r": r, "c": c, "key": key, "local": key[label]})
