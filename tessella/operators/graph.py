@@ -22,6 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle(df: DataFrame) -> None:
+    """Asks the driver to collect its garbage after a round of a loop: Spark drops the shuffle
+    and checkpoint files of earlier rounds when their objects go, and not before."""
+    import gc
+
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component) of every vertex: the smallest id that links (a, b) reach.
 
@@ -50,5 +59,7 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
         before, seen = seen, state(edges)
         if seen == before:
             break
+        del both, least, star, kept, large, low, small
+        settle(edges)
     roots = edges.groupBy("u").agg(F.min("v").alias("_root"))
     return vertices.select("id").join(roots, F.col("id") == F.col("u"), "left").select("id", F.coalesce("_root", "id").alias("component"))
