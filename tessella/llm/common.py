@@ -7,9 +7,9 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, cut
+from ..operators.graph import components, cut, settle
 
-__all__ = ["components", "cut"]
+__all__ = ["components", "cut", "settle"]
 #: Rows of ids that may be sent to every executor; larger sides are joined by a shuffle.
 MOST_SENT = 2_000_000
 #: ASCII white space, as the operators' contracts spell it.

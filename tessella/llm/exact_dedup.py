@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, running_sums, sendable, whole_text
+from .common import cut, documents, running_sums, sendable, settle, whole_text
 
 #: Characters in a block.
 BLOCK = 4096
@@ -81,6 +81,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text: Column | None = No
         names = cut(_named(pairs.select("left", "right").distinct(), ["left", "right"]))
         level = cut(pairs.join(names, ["left", "right"]).select("row", "size", "pos", "name"))
         rounds += 1
+        settle(docs)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", keep: str = "max", block: int = BLOCK) -> DataFrame:

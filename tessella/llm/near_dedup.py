@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import components, cut, documents, pieces, sendable
+from .common import components, cut, documents, pieces, sendable, settle
 from .quality import _mixed
 
 #: Coordinates in a band, and bands: a pair at 0.8 shares none with a probability of 1.3e-7.
@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, id_col: str
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "n")).alias("pivot")).where("size > 1")
     members = keyed.join(cut(buckets.select("key", "size", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"))), "key")
     members = cut(members)
+    settle(docs)
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sizes alone rule a link out
     few, many = members.where(F.col("size") <= small), members.where(F.col("size") > small)
     a, b = few.select("key", F.col("id").alias("a"), F.col("n").alias("na")), few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
@@ -225,12 +226,15 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, id_col: str
     links = cut(_linked(cut(pairs.union(star).distinct()), own, n, percent))
     ids = single.select(F.col("doc_id").alias("id"))
     comps = components(ids, links)
+    settle(docs)
     if not many.isEmpty():
         comps = cut(comps)
         dealt = cut(_blocks(many.select("key", "id", "pivot"), comps, block))
         sets = _sets(own, dealt.select("id").distinct(), n)
         more = dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(lambda g: _cross_links(g, percent), "a long, b long")
-        comps = components(ids, links.union(cut(more)))
+        more = cut(more)
+        settle(docs)
+        comps = components(ids, links.union(more))
     # Cut, so that the join of a hot group of copies can be split.
     joined = of.join(cut(comps), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return joined.withColumn("kept", F.col("doc_id") == F.col("component_id"))
