@@ -131,7 +131,7 @@ def region_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _road(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     h = height(spark, sf_dir)
-    vertices = lines(spark, sf_dir).where("seq <= 60").select("line", "seq", (F.col("seq") % WIDTH).cast("double").alias("x"), ((F.col("line") * 3 + F.floor(F.col("seq") / 4)) % h).cast("double").alias("y"))
+    vertices = lines(spark, sf_dir).select("line", "seq", (F.col("seq") % WIDTH).cast("double").alias("x"), ((F.col("line") * 3 + F.floor(F.col("seq") / 4)) % h).cast("double").alias("y"))
     return vertices, raster(spark, sf_dir).where("q >= 128").select("r", "c"), h
 
 

@@ -304,3 +304,15 @@ def test_exception_runs(spark):
     widths = [6, 6, 6, 12, 12.5, 6, 12, 6, 6, 2, 2, 2, 6]
     df = frame(spark, [(1, i, float(w), 6.0) for i, w in enumerate(widths)], "line long, i long, w double, base double")
     assert got(series.exception_runs(df, "line", "i", "w", "base"), "side", "first", "last", "level") == [(-1, 10, 12, 2.0), (1, 4, 7, 12.0)]
+
+
+def test_lines_are_snapped_and_measured_whole(spark):
+    from conftest import SMALL
+
+    from tessella.queries import workflows
+
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    whole = got(events.groupBy(F.col("user_id").alias("line")).agg(F.count("*").alias("n")), "line", "n")
+    assert max(n for _, n in whole) > 60
+    assert got(workflows._road(spark, SMALL)[0].groupBy("line").agg(F.max("seq").alias("n")), "line", "n") == whole
+    assert got(workflows.ribbon_fixed_width(spark, SMALL), "line", "n") == whole
