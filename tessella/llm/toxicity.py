@@ -1,10 +1,11 @@
 """Toxicity after noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents. Tokens that may be
-disguised (digits and signs among letters, letters repeated three times and more,
-letters spaced out) become lattices: each character may stand for itself, for the
-letters that it is used for, or for nothing, at a price. Viterbi decoding finds
-the cheapest reading under the character model. The words of a text and the
+disguised (digits and signs among letters, letters repeated, letters and signs
+spaced out) become lattices: each character may stand for itself, for the
+letters that it is used for, or for nothing, at a price; runs of spaced letters
+may hold several words. Viterbi decoding finds the cheapest reading under the
+character model. The words of a text and the
 restored ones are then scored by a logistic model of words and word beginnings,
 which is fitted on a bounded sample of labelled documents.
 """
@@ -50,9 +51,20 @@ for _form, _letter in _FOLD.items():
             _CODES[ord(_c)] = LETTERS.index(_letter)
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_REPEATED = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .*_-]{1,2}[^\W\d_]){2,}(?!\w)")
+_REPEATED = re.compile(r"([^\W\d_])\1")
 _SIGNS = frozenset(STANDS_FOR)
+_BETWEEN = f"[ {re.escape(SEPARATORS)}]"
+_LETTER, _SIGN = r"[^\W\d_]", f"[{re.escape(''.join(STANDS_FOR))}]"
+
+
+def _spaced(one: str) -> re.Pattern[str]:
+    """Three or more of ``one`` with a separator or two between them, and no letter or digit beside them."""
+    return re.compile(rf"(?<![^\W_]){one}(?:{_BETWEEN}{{1,2}}{one}){{2,}}(?![^\W_])")
+
+
+_SPACED, _SPACED_LETTERS = _spaced(f"(?:{_LETTER}|{_SIGN})"), _spaced(_LETTER)
+_GAPS = re.compile(f"{_BETWEEN}+")
+_EDGES = " " + SEPARATORS + "".join(STANDS_FOR)
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
@@ -78,7 +90,7 @@ class Restorer:
     def __init__(self, counts: np.ndarray):
         counts = counts.reshape(N, N, N) + 0.05
         self.costs = -np.log(counts / counts.sum(2, keepdims=True))
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], str] = {}
 
     def _readings(self, c: str, before: str) -> list[tuple[int, float]]:
         """(letter or -1 for none, price) of a character after another."""
@@ -89,9 +101,9 @@ class Restorer:
         out = [(LETTERS.index(x), SIGN) for x in STANDS_FOR.get(c, "")]
         return out + [(-1, REPEAT if c in SEPARATORS or c == before else DROP)]
 
-    def read(self, token: str) -> str:
-        """The cheapest reading of a lower-case token."""
-        if (known := self.known.get(token)) is not None:
+    def read(self, token: str, gaps: bool = False) -> str:
+        """The cheapest reading of a lower-case token; with ``gaps``, of several words if that is cheaper."""
+        if (known := self.known.get((token, gaps))) is not None:
             return known
         gap = N - 1
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(gap, gap): (0.0, None)}
@@ -103,17 +115,22 @@ class Restorer:
                     state, total, way = ((p, q), cost + price, path) if letter < 0 else ((q, letter), cost + price + self.costs[p, q, letter], (letter, path))
                     if state not in after or total < after[state][0]:
                         after[state] = (total, way)
+            if gaps:
+                for (p, q), (cost, path) in [x for x in after.items() if x[0][1] != gap]:
+                    total = cost + self.costs[p, q, gap]
+                    if (q, gap) not in after or total < after[q, gap][0]:
+                        after[q, gap] = (total, (gap, path))
             best, before = after, c
         _, path = min((cost + self.costs[p, q, gap], i) for i, ((p, q), (cost, _)) in enumerate(best.items()))
         path = list(best.values())[path][1]
         letters = []
         while path:
-            letters.append(LETTERS[path[0]])
+            letters.append(LETTERS[path[0]] if path[0] < gap else " ")
             path = path[1]
         word = "".join(reversed(letters))
         if len(self.known) > 100_000:
             self.known.clear()
-        self.known[token] = word
+        self.known[token, gaps] = word
         return word
 
     def restored(self, low: str) -> list[str]:
@@ -125,10 +142,16 @@ class Restorer:
                     token = token.strip(".,;:?!\"'()[]")
                     if not token.isalpha() and any(c in LETTERS for c in token):
                         out.append(self.read(token))
-        if _REPEATED.search(low):
-            out += [self.read(w) for w in set(_WORDS.findall(low)) if _REPEATED.search(w)]
-        out += [self.read(re.sub(r"[ .*_-]+", "", m[0])) for m in _SPACED.finditer(low)]
-        return [w for w in out if w]
+        # Letters are dropped from a word only where the model finds it cheaper without them.
+        out += [read for w in set(_WORDS.findall(low)) if _REPEATED.search(w) and (read := self.read(w)) != w]
+        for run in _SPACED.findall(low):
+            if not any(c.isalpha() for c in run):
+                continue
+            # Signs at the ends, and among letters, may be used as signs: the run is read with and without them.
+            for part in dict.fromkeys([run, run.strip(_EDGES), *_SPACED_LETTERS.findall(run)]):
+                token = _GAPS.sub("", part)
+                out += [self.read(token), *self.read(token, True).split()]
+        return [w for w in dict.fromkeys(out) if w]
 
 
 def features(text: str, restorer: Restorer) -> set[str]:

@@ -261,6 +261,25 @@ def test_disguises_are_read(spark):
     assert restorer.restored("so i d i o t says") == ["idiot"]
 
 
+@pytest.mark.parametrize(
+    ("text", "word"),
+    [
+        ("so 1 d 1 0 t says", "idiot"), ("s t u p 1 d", "stupid"), ("$ t u p ! d", "stupid"), ("m.0.r.0.n", "moron"), ("i~d~i~o~t", "idiot"), ("1~d~1~0~t", "idiot"), ("_i_d_i_o_t_", "idiot"),
+        ("stuupid", "stupid"), ("s t u u p 1 d", "stupid"), ("an a i d i o t", "idiot"), ("y o u 1 d 1 0 t", "idiot"), ("i d i o t !", "idiot"), ("i d i o t 1 2 3", "idiot"),
+    ],
+)
+def test_combined_disguises_are_read(spark, text, word):
+    plain = " ".join(["you are an idiot and a moron", "stupid people say so a lot"] * 50)
+    restorer = toxicity.Restorer(toxicity.trigrams(spark.createDataFrame([(1, plain)], "doc_id long, text string")))
+    assert word in restorer.restored(text)
+
+
+def test_numbers_and_plain_words_are_not_disguised(spark):
+    plain = " ".join(["a good book will sell well", "all happy people agree"] * 50)
+    restorer = toxicity.Restorer(toxicity.trigrams(spark.createDataFrame([(1, plain)], "doc_id long, text string")))
+    assert restorer.restored("1 2 3, 10.5.3.1 + 4: a good book will sell well") == []
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(7)
     clean = lambda: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrs')}" for _ in range(30))
