@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,25 +26,41 @@ from .tokens import encoder
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 19
-#: Rounds of replacement, and how often a pair must occur for a rule to pay.
-ROUNDS, LEAST = 5, 16
+#: How often a pair must occur for a rule to pay, and the most rules of a round.
+LEAST, BATCH = 16, 8192
 
 
 #: Slots in which pairs are counted.
 SLOTS, SHIFT = 1 << 18, 46
 
 
-def _frequent(pairs: np.ndarray, free: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _counted(pairs: np.ndarray, free: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """What _frequent() returns, from the counts of all pairs."""
+    kinds, which = np.unique(pairs[free], return_inverse=True)
+    counts = np.bincount(which, minlength=len(kinds))
+    found = np.flatnonzero(counts >= least)
+    found = found[np.argsort(-counts[found], kind="stable")[:most]]
+    number = np.full(len(kinds), -1, np.int32)
+    number[found] = np.arange(len(found))
+    place = np.full(len(pairs), -1, np.int32)
+    place[free] = number[which]
+    return kinds[found], place
+
+
+def _frequent(pairs: np.ndarray, free: np.ndarray, least: int, most: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
     """The up to ``most`` most frequent pairs, and at each place its pair's number among them or -1.
 
-    A slot counts, exactly, one of the pairs that hash to it; the others wait for a later round.
+    A slot counts, exactly, one of the pairs that hash to it; the others wait for a later
+    ``turn``, which has another hash. Where the slots hold no frequent pair, all pairs are counted.
     """
-    slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(SHIFT)).astype(np.int64)
+    slot = ((pairs * np.uint64(pow(0x9E3779B97F4A7C15, 2 * turn + 1, 1 << 64))) >> np.uint64(SHIFT)).astype(np.int64)
     held = np.zeros(SLOTS, np.uint64)
     held[slot] = pairs
     own = (held[slot] == pairs) & free
     counts = np.bincount(slot[own], minlength=SLOTS)
     found = np.flatnonzero(counts >= least)
+    if not len(found):
+        return _counted(pairs, free, least, most)
     if len(found) > most:
         found = found[np.argsort(-counts[found], kind="stable")[:most]]
     number = np.full(SLOTS, -1, np.int32)
@@ -53,20 +70,23 @@ def _frequent(pairs: np.ndarray, free: np.ndarray, least: int, most: int) -> tup
     return held[found], place
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(symbols, where each document's symbols begin and the end, rules as pairs, the first nonterminal)."""
+def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(symbols, where each document's symbols begin and the end, rules as pairs, the first nonterminal).
+
+    Rounds go on until no pair occurs ``least`` times, or until no symbol is left for a rule.
+    """
     first = int(ids.max()) + 1 if len(ids) else 1
     room = max(0, (1 << 16) - first) or (1 << 20)  # symbols of two bytes where ids have two
     symbols, starts, rules = ids.astype(np.uint64), bounds.astype(np.int64), []
     made = 0
-    for _ in range(rounds):
+    for turn in count():
         if len(symbols) < 2 or made >= room:
             break
         free = np.ones(len(symbols), bool)
         free[starts[1:][starts[1:] > 0] - 1] = False  # a document's last symbol begins no pair
         free = free[:-1]
         pairs = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        chosen, place = _frequent(pairs, free, least, min(8192, room - made))
+        chosen, place = _frequent(pairs, free, least, min(BATCH, room - made), turn)
         if not len(chosen):
             break
         # In a run of hits every second one is replaced, from its start on: replaced pairs don't overlap.
@@ -81,8 +101,6 @@ def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, least: i
         symbols, starts = symbols[kept], moved[starts]
         rules.append(chosen)
         made += len(chosen)
-        if len(at) < 0.05 * len(symbols):
-            break
     flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     return symbols, starts, np.column_stack((flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF))).astype("<u4"), first
 

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import brute
@@ -214,6 +215,21 @@ def test_shards_decode(texts):
     assert len(symbols) <= len(ids) and (token_files.expansions(rules, first)[0] >= 2).all()
 
 
+@pytest.mark.parametrize(("slots", "shift"), [(token_files.SLOTS, token_files.SHIFT), (2, 63)])  # with two slots, most pairs collide
+def test_no_frequent_pair_is_left(slots, shift, monkeypatch):
+    monkeypatch.setattr(token_files, "SLOTS", slots)
+    monkeypatch.setattr(token_files, "SHIFT", shift)
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 6000), 300).astype(np.uint32)
+    bounds = np.array([0, 0, 2000, 2001, 6000])
+    symbols, starts, rules, first = token_files.compress(ids, bounds)
+    ends = set(starts.tolist())
+    pairs = Counter((a, b) for i, (a, b) in enumerate(zip(symbols.tolist(), symbols[1:].tolist()), 1) if i not in ends)
+    assert max(pairs.values()) < token_files.LEAST
+    shard = token_files.Shard(token_files.encode_shard(np.arange(4), ids, bounds))
+    assert [shard.ids(k).tolist() for k in range(4)] == [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 # 5
 
 
