@@ -92,12 +92,12 @@ def solve(counts: np.ndarray, window: int = WINDOW, sweeps: int = SWEEPS) -> dic
     present = np.flatnonzero(counts)
     for _ in range(sweeps):
         for a in present[present <= window // 2].tolist():
-            best, value = (a, window - a), (left[a] + left[window - a]) / 2**0.5
+            best, value = (a, window - a), (left[a] + left[window - a]) / 2**0.5 if counts[window - a] else -np.inf
             b = np.arange(a, (window - a) // 2 + 1)
             if len(b):
-                gain = left[b] + left[window - a - b]
+                gain = np.where((counts[b] > 0) & (counts[window - a - b] > 0), left[b] + left[window - a - b], -np.inf)
                 k = int(np.argmax(gain))
-                if (left[a] + gain[k]) / 3**0.5 > value and counts[b[k]] and counts[window - a - b[k]]:
+                if (left[a] + gain[k]) / 3**0.5 > value:
                     best = (a, int(b[k]), window - a - int(b[k]))
             if all(counts[n] for n in best):
                 move(best)

@@ -195,6 +195,15 @@ def test_repeats_use_no_piece_twice(counts):
     assert len(seen) == used.sum()
 
 
+def test_absent_lengths_hide_no_triples():
+    counts = np.zeros(33, np.int64)
+    counts[[4, 10, 18]], counts[20] = 5, 100  # 4 + 8 + 20 fills a window too, but no piece has length 8
+    assert packing.solve(counts, 32, 5) == pytest.approx({(4, 10, 18): 5})
+    counts = np.zeros(33, np.int64)
+    counts[4], counts[[10, 18]] = 100, 2  # nor has one length 28
+    assert (4, 10, 18) in packing.solve(counts, 32, 5)
+
+
 def test_token_files(spark, docs, none, tmp_path):
     token_files.write(docs, str(tmp_path / "a"), VOCABULARY, shard_ids=500)
     found, at = by_id(token_files.read_back(spark, str(tmp_path / "a"))), 0
