@@ -12,19 +12,34 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """``df`` stored reliably in the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session names none (tests on one machine).
+    The folder is the session's ``spark.checkpoint.dir``. Where the session names none, a folder
+    of our own is set on a local master; on a cluster, whose machines share no local folder, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tessella-checkpoints"))
+        if not named:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = os.path.join(tempfile.gettempdir(), "tessella-checkpoints")
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 
+def drop_cut(*frames: DataFrame) -> None:
+    """Deletes the files of frames that cut() returned and that nothing will read again."""
+    for df in frames:
+        spark, file = df.sparkSession, df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> None:
-    """Asks the driver to collect its garbage after a round of a loop: Spark drops the shuffle
-    and checkpoint files of earlier rounds when their objects go, and not before."""
+    """Asks the driver to collect its garbage: Spark drops shuffle files when their objects go, and not before.
+
+    Files of cut() need no collection; see drop_cut().
+    """
     import gc
 
     gc.collect()
@@ -55,11 +70,10 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
         # Smaller neighbours go under the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        past, edges = edges, cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        drop_cut(past)
         before, seen = seen, state(edges)
         if seen == before:
             break
-        del both, least, star, kept, large, low, small
-        settle(edges)
     roots = edges.groupBy("u").agg(F.min("v").alias("_root"))
     return vertices.select("id").join(roots, F.col("id") == F.col("u"), "left").select("id", F.coalesce("_root", "id").alias("component"))
