@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows (DataFrame functions only).
 
 Prefix sums of a conversation's turn tokens choose turn-aligned spans. Every
-window opens with the system turns that head the conversation, repeats as much
+window opens with the system turns that head the conversation (within half the budget), repeats as much
 of the turns before its span as a history budget holds, and then has its span.
 The loss mask covers the assistant texts of the span alone: targets that are
 repeated as history are masked out, so each is learnt once.
@@ -17,10 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Tokens in a window, and of them for repeated history.
 BUDGET, HISTORY = 1024, 256
 #: Tokens of the template in each turn.
 TURN_TOKENS = 4
+#: Turns after which a window is cut in any case.
+CHAPTER = 1024
 
 
 def count_tokens(text: Column) -> Column:
@@ -45,71 +49,92 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(role, F.lit("\\g"), F.lit(">")), F.lit("\\n"), F.lit("\n")))
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=count_tokens) -> DataFrame:
-    """(conv_id, window, first_turn, n_context, tokens, text, loss): the windows of every conversation.
-
-    ``turns``: conv_id, turn, role, text; other columns are ignored. ``first_turn`` is
-    the place (from 0) of the span's first turn, ``n_context`` the number of repeated
-    turns that stand before the span, ``loss`` the [start, end) of each target in
-    code points of ``text``. A span holds one turn at least: a turn larger than the
-    budget has a window of its own. Turns come in the order of (turn, role, text),
-    nulls first; null roles and texts are empty; null conv_ids are one conversation.
-    The windows of a conversation, like the digest of its turns, are made in one task;
-    its turns are not shared with any other conversation's.
-    """
+def _numbered(turns: DataFrame, budget: int, history: int, tokens) -> DataFrame:
+    """The turns with their places and prefix sums: conv_id, role, text, at, head, heads, head_tokens, start, end, from, from_start."""
     clean = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     clean = clean.withColumn("tokens", (tokens(F.col("text")) + TURN_TOKENS).cast("long"))
     ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Prefix sums leave out the system turns at the head, which every window repeats.
-    numbered = clean.withColumn("at", F.row_number().over(ordered) - 1)
-    numbered = numbered.withColumn("head", F.min(F.col("role") == "system").over(so_far))
-    numbered = numbered.withColumn("own", F.when(F.col("head"), 0).otherwise(F.col("tokens")))
-    numbered = numbered.withColumn("end", F.sum("own").over(so_far)).withColumn("start", F.col("end") - F.col("own"))
+    out = clean.withColumn("at", F.row_number().over(ordered) - 1).withColumn("sum", F.sum("tokens").over(so_far)).withColumn("system", F.min(F.col("role") == "system").over(so_far))
+    out = out.withColumn("head", F.col("system") & ((F.col("sum") <= budget // 2) | (F.col("at") == 0)))
+    # Heads come first, so that these sums are whole at every later turn.
+    out = out.withColumn("heads", F.sum(F.col("head").cast("int")).over(so_far)).withColumn("head_tokens", F.sum(F.when(F.col("head"), F.col("tokens")).otherwise(0)).over(so_far))
+    # Prefix sums leave out the heads, which every window repeats.
+    out = out.withColumn("end", F.col("sum") - F.col("head_tokens")).withColumn("start", F.when(F.col("head"), F.col("end")).otherwise(F.col("end") - F.col("tokens")))
     # The first turn whose distance to this one fits into the history.
     near = Window.partitionBy("conv_id").orderBy("start").rangeBetween(-history, Window.currentRow)
-    numbered = numbered.withColumn("from", F.min(F.when(~F.col("head"), F.col("at"))).over(near))
-    gathered = numbered.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("at", "role", "text", "start", "end", "from"))).alias("turns"),
-        F.sum(F.col("head").cast("int")).alias("heads"),
-        F.sum(F.when(F.col("head"), F.col("tokens")).otherwise(0)).alias("head_tokens"),
+    for name, value in (("from", "at"), ("from_start", "start")):
+        out = out.withColumn(name, F.min(F.when(~F.col("head"), F.col(value))).over(near))
+    return out.drop("turn", "tokens", "sum", "system")
+
+
+def _spans(numbered: DataFrame, budget: int, chapter: int) -> DataFrame:
+    """(conv_id, window, first_turn, from, next, heads) by greedy cuts over the prefix sums.
+
+    A window is cut before the first turn that would pass the budget, and at every
+    ``chapter`` turns, so that no more than so many sums are ever gathered.
+    """
+    slim = numbered.groupBy("conv_id", F.floor(F.col("at") / chapter).alias("chapter")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "start", "end", "from", "from_start", "heads", "head_tokens"))).alias("turns"), (F.max("at") + 1).alias("n")
     )
-    # Greedy cuts over the prefix sums: a window is cut before the first turn that would pass the budget.
-    turn = lambda i: F.element_at("turns", i.cast("int") + 1)
-    fits = lambda t, base: t["end"] - base + F.col("head_tokens") <= budget
+    fits = lambda t, base: t["end"] - base + t["head_tokens"] <= budget
     # History that leaves no room for the turn itself is left out.
-    begin = lambda t: F.when(fits(t, turn(t["from"])["start"]), t["from"]).otherwise(t["at"])
+    back = lambda t: (t["at"] > t["heads"]) & fits(t, t["from_start"])
+    cut_at = lambda t: F.struct(t["at"].alias("at"), F.when(back(t), t["from"]).otherwise(t["at"]).alias("from"), t["heads"].alias("heads"))
+    base = lambda t: F.when(back(t), t["from_start"]).otherwise(t["start"])
+    goes_on = lambda acc, t: ((t["at"] > 0) & (t["at"] <= t["heads"])) | ((F.size(acc["cuts"]) > 0) & fits(t, acc["base"]))
     cuts = F.aggregate(
         "turns",
-        F.struct(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("from"))).alias("cuts"), F.lit(0).cast("long").alias("base")),
-        lambda acc, t: F.when((t["at"] <= F.col("heads")) | fits(t, acc["base"]), acc).otherwise(
-            F.struct(F.array_append(acc["cuts"], F.struct(t["at"].alias("at"), begin(t).alias("from"))).alias("cuts"), turn(begin(t))["start"].alias("base"))
-        ),
+        F.struct(F.array().cast("array<struct<at:int,from:int,heads:bigint>>").alias("cuts"), F.lit(0).cast("long").alias("base")),
+        lambda acc, t: F.when(goes_on(acc, t), acc).otherwise(F.struct(F.array_append(acc["cuts"], cut_at(t)).alias("cuts"), base(t).alias("base"))),
         lambda acc: acc["cuts"],
     )
-    cut = gathered.withColumn("cuts", cuts)
-    each = cut.select("conv_id", "turns", "heads", F.size("turns").alias("n"), "cuts", F.posexplode("cuts").alias("window", "cut"))
-    each = each.withColumn("first_turn", F.col("cut.at"))
-    next_cut, start = F.coalesce(F.get("cuts", F.col("window") + 1)["at"], F.col("n")), F.col("cut.from")
-    each = each.withColumn("heads_in", F.when(F.col("first_turn") == 0, 0).otherwise(F.col("heads")))
-    each = each.withColumn("context", F.concat(F.slice("turns", F.lit(1), "heads_in"), F.slice("turns", start + 1, F.col("first_turn") - start)))
-    each = each.withColumn("span", F.slice("turns", F.col("first_turn") + 1, next_cut - F.col("first_turn")))
-    written = lambda t: F.concat(F.lit("<turn "), escape_role(t["role"]), F.lit(">\n"), escape(t["text"]), F.lit("</turn>\n"))
-    each = each.withColumn("before", F.array_join(F.transform("context", written), ""))
-    # Each turn of the span with its target's place inside it; then a running length gives places in the window.
-    each = each.withColumn("parts", F.transform("span", lambda t: F.struct(written(t).alias("w"), (F.length(escape_role(t["role"])) + 8).alias("skip"), F.length(escape(t["text"])).alias("size"), (t["role"] == "assistant").alias("target"))))
+    each = slim.select("conv_id", "n", F.explode(cuts).alias("cut")).select("conv_id", F.col("cut.at").alias("first_turn"), "cut.from", F.when(F.col("cut.at") == 0, 0).otherwise(F.col("cut.heads")).cast("int").alias("heads"), "n")
+    whole, ordered = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("first_turn")
+    following = F.coalesce(F.lead("first_turn").over(ordered), F.max("n").over(whole))
+    return each.withColumn("next", following).withColumn("window", F.row_number().over(ordered) - 1).drop("n")
+
+
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=count_tokens, chapter: int = CHAPTER) -> DataFrame:
+    """(conv_id, window, first_turn, n_context, text, loss): the windows of every conversation.
+
+    ``turns``: conv_id, turn, role, text; other columns are ignored. ``first_turn`` is
+    the place (from 0) of the span's first turn, ``n_context`` the number of repeated
+    turns that stand before the span, ``loss`` the [start, end) of each target in
+    code points of ``text``. Repeated are the system turns that head the conversation,
+    as far as they take half the budget (the first one always), and then the history.
+    A span holds one turn at least: the window of a turn that is larger than the budget
+    exceeds it. Turns come in the order of (turn, role, text), nulls first, and repeated
+    rows are turns like others; null roles and texts are empty; null conv_ids are one
+    conversation. No rows: no rows. Turns stay rows: they meet their windows by place,
+    and only the texts of one window are ever gathered.
+    """
+    numbered = cut(_numbered(turns, budget, history, tokens))
+    spans = _spans(numbered, budget, chapter)
+    up_to = lambda a, b: F.when(F.col(a) < F.col(b), F.sequence(F.col(a), F.col(b) - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.concat(up_to("zero", "heads"), up_to("from", "next"))
+    members = spans.withColumn("zero", F.lit(0)).select(F.col("conv_id").alias("conv"), "window", "first_turn", F.explode(places).alias("place"))
+    met = members.join(numbered.select("conv_id", "at", "role", "text"), F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("place") == F.col("at")))
+    role, text = escape_role(F.col("role")), escape(F.col("text"))
+    written = F.concat(F.lit("<turn "), role, F.lit(">\n"), text, F.lit("</turn>\n"))
+    part = F.struct("at", written.alias("w"), (F.length(role) + 8).alias("skip"), F.length(text).alias("size"), ((F.col("role") == "assistant") & (F.col("at") >= F.col("first_turn"))).alias("target"))
+    each = met.groupBy("conv_id", "window", "first_turn").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum((F.col("at") < F.col("first_turn")).cast("int")).cast("int").alias("n_context"))
+    # A running length gives the places of targets in the window.
     loss = F.aggregate(
         "parts",
-        F.struct(F.length("before").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss")),
         lambda acc, p: F.struct((acc["at"] + F.length(p["w"])).alias("at"), F.when(p["target"], F.array_append(acc["loss"], F.struct((acc["at"] + p["skip"]).alias("start"), (acc["at"] + p["skip"] + p["size"]).alias("end")))).otherwise(acc["loss"]).alias("loss")),
         lambda acc: acc["loss"],
     )
-    text = F.concat("before", F.array_join(F.transform("parts", lambda p: p["w"]), ""))
-    return each.select("conv_id", "window", "first_turn", F.size("context").alias("n_context"), text.alias("text"), loss.alias("loss"))
+    return each.select("conv_id", "window", "first_turn", "n_context", F.array_join("parts.w", "").alias("text"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text, formatted_chars) from the text, context size and loss mask of windows alone."""
+    """(conv_id, turns, loss_text, formatted_chars) from the text, context size and loss mask of windows alone.
+
+    Gathers each conversation, as a digest of all its turns needs. Null conv_ids are one
+    conversation; empty texts come back as empty, where nulls were too. No rows: no rows.
+    """
     pattern = F.lit(r"<turn ([^>]*)>\n([^<]*)</turn>\n")
     roles, texts = F.regexp_extract_all("text", pattern, F.lit(1)), F.regexp_extract_all("text", pattern, F.lit(2))
     turns = F.transform(F.arrays_zip(roles.alias("role"), texts.alias("text")), lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape(t["text"]).alias("text")))

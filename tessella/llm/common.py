@@ -7,9 +7,9 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, cut, settle
+from ..operators.graph import components, cut, drop_cut, settle
 
-__all__ = ["components", "cut", "settle"]
+__all__ = ["components", "cut", "drop_cut", "settle"]
 #: Rows of ids that may be sent to every executor; larger sides are joined by a shuffle.
 MOST_SENT = 2_000_000
 #: ASCII white space, as the operators' contracts spell it.
@@ -28,6 +28,33 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def mark(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, gone: DataFrame, twice: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but those in ``gone`` (id, mark), and one row of each (id, mark) in ``twice``."""
+    own, other = unused(docs, "mark"), unused(docs, "mark_id")
+    marked = docs.withColumn(own, mark(whole_text(text_col)))
+    met = lambda side: (F.col(id_col) == F.col(other)) & (F.col(own) == F.col(f"{own}_2"))
+    side = lambda df: sendable(df.toDF(other, f"{own}_2"))
+    left = marked.join(side(gone), met(gone), "left_anti")
+    twice = cut(twice)
+    if not twice.isEmpty():
+        once = left.join(side(twice), met(twice), "left_semi").dropDuplicates([id_col, own])
+        left = left.join(side(twice), met(twice), "left_anti").union(once)
+    return left.select(docs.columns)
+
+
 def sendable(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """``df``, of a few fixed-width columns, cut from lineage; marked for broadcast if it has at most ``most`` rows.
 
@@ -61,18 +88,21 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], **sums: str)
     from lineage, so that every later read sees the same ones. Empty input: empty.
     """
     spark = df.sparkSession
+    p = unused(df, "_r")  # before the names of all columns that are added and go again
+    while any(c.lower().startswith(p) for c in df.columns):
+        p = f"_{p}"
     by = [F.col(c) for c in (*keys, *order)]
-    ranged = cut(df.repartitionByRange(partitions(spark), *by).withColumn("_range", F.spark_partition_id()))
-    inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*[F.col(f"_k{i}") for i in range(len(keys))] or [F.lit(0)]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = cut(df.repartitionByRange(partitions(spark), *by).withColumn(p, F.spark_partition_id()))
+    inside = Window.partitionBy(p, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*[F.col(f"{p}_k{i}") for i in range(len(keys))] or [F.lit(0)]).orderBy(f"{p}_r").rowsBetween(Window.unboundedPreceding, -1)
     # At most a row for each range and key: ranges hold whole runs of keys.
-    starts = ranged.groupBy(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[F.sum(v).alias(f"_s_{out}") for out, v in sums.items()])
-    starts = starts.select("_r", *[f"_k{i}" for i in range(len(keys))], *[F.coalesce(F.sum(f"_s_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in sums])
-    same = F.col("_range") == F.col("_r")
+    starts = ranged.groupBy(F.col(p).alias(f"{p}_r"), *[F.col(k).alias(f"{p}_k{i}") for i, k in enumerate(keys)]).agg(*[F.sum(v).alias(f"{p}_s_{out}") for out, v in sums.items()])
+    starts = starts.select(f"{p}_r", *[f"{p}_k{i}" for i in range(len(keys))], *[F.coalesce(F.sum(f"{p}_s_{out}").over(before), F.lit(0)).alias(f"{p}_b_{out}") for out in sums])
+    same = F.col(p) == F.col(f"{p}_r")
     for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    summed = ranged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_i_{out}") for out, v in sums.items()])
-    return summed.join(starts, same, "left").select(*df.columns, *[(F.col(f"_i_{out}") + F.col(f"_b_{out}")).cast("long").alias(out) for out in sums])
+        same &= F.col(k).eqNullSafe(F.col(f"{p}_k{i}"))
+    summed = ranged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"{p}_i_{out}") for out, v in sums.items()])
+    return summed.join(starts, same, "left").select(*df.columns, *[(F.col(f"{p}_i_{out}") + F.col(f"{p}_b_{out}")).cast("long").alias(out) for out in sums])
 
 
 def pieces(batches, limit: int = 1 << 21):

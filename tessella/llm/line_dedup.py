@@ -16,15 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, documents, pieces
+from .common import cut, documents, pieces, sendable
 
-#: Bytes of filters that may be sent to every executor; larger ones are not, and lines meet the counts by a join.
+#: Bytes of filters that may be sent to every executor; to larger ones, lines are dealt by shard.
 MOST_SENT = 64 << 20
-SHARD_KEYS = 500_000
+#: Keys of a filter, and tasks that ask a filter where lines are dealt.
+SHARD_KEYS, SALTS = 500_000, 16
 
 
 class CuckooFilter:
@@ -151,13 +152,17 @@ def references(table: DataFrame) -> DataFrame:
     return table.where("doc_id is not null").groupBy("fp").agg(F.count("*").alias("n_docs"))
 
 
+def _shard(shards: int) -> Column:
+    return F.pmod(F.shiftright("fp", 20), F.lit(shards)).cast("int")
+
+
 def filters(frequent: DataFrame, shards: int) -> DataFrame:
     """(shard, filter bytes) over the column ``fp``."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": pdf["shard"][:1], "filter": [CuckooFilter.of(pdf["fp"].to_numpy()).bytes()]})
 
-    return frequent.select("fp", F.pmod(F.shiftright("fp", 20), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
+    return frequent.select("fp", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
 def update_filters(held: DataFrame, entering: DataFrame, leaving: DataFrame, current: DataFrame, shards: int) -> DataFrame:
@@ -180,19 +185,24 @@ def update_filters(held: DataFrame, entering: DataFrame, leaving: DataFrame, cur
         return pd.DataFrame({"shard": [shard], "filter": [made.bytes()]})
 
     what = current.join(entering, "fp", "left_anti").select("fp", F.lit(0).alias("what")).union(entering.select("fp", F.lit(1))).union(leaving.select("fp", F.lit(-1)))
-    what = what.withColumn("shard", F.pmod(F.shiftright("fp", 20), F.lit(shards)).cast("int"))
+    what = what.withColumn("shard", _shard(shards))
     return held.groupBy("shard").cogroup(what.groupBy("shard")).applyInPandas(change, "shard int, filter binary")
 
 
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list, np.ndarray]]:
+    """((doc_id, key) of the distinct long lines, their fingerprints) by slices; rows without an id have none."""
+    for ids, texts in pieces(batches):
+        found = [(i, k) for i, t in zip(ids.to_pylist(), texts) if i is not None for k in _long_keys(t, least)]
+        yield found, np.array([xxh3_64_intdigest(k) for _, k in found], np.uint64)
+
+
 def _candidates(docs: DataFrame, held: dict[int, bytes], shards: int, least: int) -> DataFrame:
-    """(doc_id, key) of the distinct long lines that the filters may hold."""
+    """(doc_id, key) of the distinct long lines that the filters, which are sent to the documents, may hold."""
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {shard: CuckooFilter.read(data) for shard, data in sent.value.items()}
-        for ids, texts in pieces(batches):
-            found = [(i, k) for i, t in zip(ids.to_pylist(), texts) if i is not None for k in _long_keys(t, least)]
-            fps = np.array([xxh3_64_intdigest(k) for _, k in found], np.uint64)
+        for found, fps in _lines(batches, least):
             shard = (fps.astype(np.int64) >> 20) % shards
             may = np.zeros(len(found), bool)
             for s in np.unique(shard):
@@ -204,15 +214,38 @@ def _candidates(docs: DataFrame, held: dict[int, bytes], shards: int, least: int
     return docs.mapInArrow(rows, "doc_id long, key binary")
 
 
-def _all_keys(docs: DataFrame, frequent: DataFrame, least: int) -> DataFrame:
-    """The same by a join with the exact counts, where the filters are too large to send."""
+def _dealt(docs: DataFrame, held: DataFrame, shards: int, least: int) -> DataFrame:
+    """The same where filters are too large to send: lines are dealt to them by shard.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in pieces(batches):
-            found = [(i, k) for i, t in zip(ids.to_pylist(), texts) if i is not None for k in _long_keys(t, least)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary()), pa.array([_signed(xxh3_64_intdigest(k)) for _, k in found], pa.int64())], ["doc_id", "key", "fp"])
+    A task streams its lines past the filters that are dealt to it, and holds one at a
+    time. A shard's lines go to SALTS tasks, each with a copy of its filter, so that no
+    line's documents meet in one.
+    """
 
-    return docs.mapInArrow(rows, "doc_id long, key binary, fp long").join(frequent, "fp", "left_semi").select("doc_id", "key")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, fps in _lines(batches, least):
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary()), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "key", "fp"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own = -1, None
+        for batch in batches:
+            shard_of, fps = batch.column(0).to_numpy(), batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
+            may = np.zeros(batch.num_rows, bool)
+            # A filter's row comes before the lines of its shard.
+            heads = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for start, end in zip([-1, *heads], [*heads, batch.num_rows]):
+                if start >= 0:
+                    shard, own = int(shard_of[start]), CuckooFilter.read(batch.column(1)[start].as_py())
+                here = np.arange(start + 1, end)
+                here = here[shard_of[here] == shard]
+                if own is not None and len(here):
+                    may[here] = own.holds(fps[here].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3)], ["doc_id", "key"]).filter(pa.array(may))
+
+    lines = docs.mapInArrow(rows, "doc_id long, key binary, fp long").select(_shard(shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), F.lit(None).cast("binary").alias("filter"), "doc_id", "key", "fp")
+    filters_ = held.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "filter", F.lit(None).cast("long"), F.lit(None).cast("binary"), F.lit(None).cast("long"))
+    together = lines.union(filters_).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+    return together.select("shard", "filter", "doc_id", "key", "fp").mapInArrow(asked, "doc_id long, key binary")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, most: int = 2, table: DataFrame | None = None, most_sent: int = MOST_SENT) -> DataFrame:
@@ -221,8 +254,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key has at least ``least`` code points; all lines with such a key go, but
     for those in the largest doc_id that holds it. ``table`` is a reference table that
     has the postings of ``docs`` (made here if none is given). A null or empty text is
-    one empty line. Rows with a null id hold nothing and keep all lines; rows that
-    share an id count as one document. No rows: no rows.
+    one empty line. Every row gives a row: those with a null id hold nothing and keep all
+    lines; those that share an id count as one document. Other columns are ignored. No
+    rows: no rows. Filters of at most ``most_sent`` bytes are sent to the documents; to
+    larger ones, lines are dealt by shard.
     """
     own = _narrow(docs, id_col, text_col)
     counts = references(postings(own, least=least).distinct() if table is None else table)
@@ -232,13 +267,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if (held.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= most_sent:
         may = _candidates(own, {r["shard"]: bytes(r["filter"]) for r in held.collect()}, shards, least)
     else:
-        may = _all_keys(own, frequent, least)
+        may = _dealt(own, held, shards, least)
     may = cut(may.distinct())
     # The counts by content decide.
     exact = cut(may.groupBy("key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_last")).where(F.col("_n") > most))
     # Both sides are shuffled for the join, so that the skew join can split a hot line.
-    gone = may.join(exact, "key").where("doc_id <> _last").groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
-    return own.join(gone, "doc_id", "left").mapInArrow(_kept, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    gone = cut(may.join(exact, "key").where("doc_id <> _last").groupBy("doc_id").agg(F.collect_list("key").alias("gone")))
+    # Documents that lose nothing stay where they are; the others meet their lists.
+    ids = sendable(gone.select("doc_id"))
+    losing, rest = own.join(ids, "doc_id", "left_semi").join(gone, "doc_id"), own.join(ids, "doc_id", "left_anti").withColumn("gone", F.lit(None).cast("array<binary>"))
+    schema = "doc_id long, n_lines long, n_dropped long, kept_text string"
+    return losing.mapInArrow(_kept, schema).union(rest.mapInArrow(_kept, schema))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

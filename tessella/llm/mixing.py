@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents, running_sums, sendable, whole_text
+from .common import WORD, cut, documents, mark, running_sums, sendable, unused, whole_text
 
 #: Weights of the sources in order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -46,34 +46,49 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weight
     return stopped.crossJoin(F.broadcast(found)).select("source", "source_size", F.coalesce(F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")), F.col("most").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, seed: str = "mix", share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
-
-    ``taken``: the tokens that the mix has of the row, epochs counted; over a source
-    they sum to its target, rounded. ``size`` is the number of words by default. Null
-    and empty texts have none. Null sources are one source. Keys come from the doc_id
-    and the seed, so that reruns agree; rows that share a doc_id follow one another.
-    Other columns are ignored. No rows: no rows.
-    """
-    sized = cut(docs.select("doc_id", "source", (count_words(whole_text()) if size is None else size).alias("size")))
+def _mixed(docs: DataFrame, size: Column | None = None, seed: str = "mix", share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """What mix() returns, with the mark of each row's text."""
+    sized = cut(docs.select("doc_id", "source", mark(whole_text()).alias("mark"), (count_words(whole_text()) if size is None else size).alias("size")))
     budgets = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, epochs, weights)
     keyed = sized.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    placed = running_sums(keyed, ["source"], ["key", "doc_id", "size"], before="size").withColumnRenamed("source", "_source")
+    placed = running_sums(keyed, ["source"], ["key", "doc_id", "size", "mark"], before="size").withColumnRenamed("source", "_source")
     budget = F.floor(F.col("target") + 0.5)
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - F.col("before")))
-    return placed.join(budgets, F.col("_source").eqNullSafe(F.col("source"))).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.join(budgets, F.col("_source").eqNullSafe(F.col("source"))).select("doc_id", "source", "mark", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, size: Column | None = None, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+
+    ``taken``: the tokens that the mix has of the row, epochs counted; over a source
+    they sum to its target, rounded. ``size`` is the number of words by default. Null
+    and empty texts have none. Null sources are one source. Keys come from the doc_id
+    and the seed, so that reruns agree; rows that share a doc_id follow one another, by
+    size. Other columns are ignored. No rows: no rows. ``options``: ``seed``, ``share``,
+    ``epochs``, ``weights``.
+    """
+    return _mixed(docs, size, **options).drop("mark")
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus in whole documents, columns of ``docs``: each as often as ``taken`` holds its size, to the nearest.
 
-    A document without tokens comes once. ``doc_id`` must be unique.
+    A document without tokens comes once. Rows that share id, source and text are alike
+    and come as often as all of them together. Rows with null ids come too. No rows: no rows.
     """
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    counts = mixed.select("doc_id", times.alias("_times")).where("_times > 0")
-    return docs.join(sendable(counts), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    counts = _mixed(docs, **options).groupBy("doc_id", "source", "mark").agg(F.sum(times).cast("int").alias("times"), F.count("*").cast("int").alias("rows"))
+    own, copy = unused(docs, "mix"), unused(docs, "copy")
+    side = sendable(counts.where("times > 0").select(F.struct("*").alias(own)))
+    met = F.col("doc_id").eqNullSafe(F.col(f"{own}.doc_id")) & F.col("source").eqNullSafe(F.col(f"{own}.source")) & (mark(whole_text()) == F.col(f"{own}.mark"))
+    each = docs.join(side, met)
+    alone = each.where(F.col(f"{own}.rows") == 1)
+    alike = each.where(F.col(f"{own}.rows") > 1)
+    if not counts.where("rows > 1 and times > 0").isEmpty():
+        alone = alone.union(alike.dropDuplicates([own]))
+    return alone.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{own}.times")))).select(docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

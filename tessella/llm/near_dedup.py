@@ -6,11 +6,19 @@ is random within it; a bin keeps its least value. Rounds go on until all bins
 are filled, after t rounds with shingles sent to the bins one by one, so that
 every coordinate fills and agreements concentrate around the Jaccard similarity.
 
-Documents with equal sets fold into one representative. Bands of the sketch put
-representatives into buckets. Small buckets propose all their pairs; a large one
-proposes its pivot to every member, and what that leaves unconnected is compared
-in blocks, inside tasks that hold the full sets of two blocks and give back
-links only. Every link is verified on full sets; none is drawn from the sketch.
+Documents with equal sets fold into one representative; the sets of a fold are
+compared whole. Bands of the sketch put representatives into buckets, and a
+bucket proposes its pivot to every member. Each member meets first the pivot that
+most of its buckets propose; what that leaves unconnected meets the other pivots
+and, in small buckets, each other. Large buckets that still hold more than one
+component get new pivots; then members go that share too few shingles with
+other components to link to any, and the rest is compared in blocks, inside tasks
+that hold the full sets of two blocks and give back links only. So rows grow with
+the members of a bucket, not with their pairs. Every link is verified on full
+sets; none is drawn from the sketch.
+
+Sets hold 64-bit hashes of shingles. Two shingles of a text of 20,000 words share
+one with a probability of 1e-11.
 """
 
 from __future__ import annotations
@@ -20,17 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import components, cut, documents, pieces, sendable, settle
+from .common import components, cut, documents, drop_cut, mark, pieces, sendable, settle, slices, whole_text, without
 from .quality import _mixed
 
 #: Coordinates in a band, and bands: a pair at 0.8 shares none with a probability of 1.3e-7.
 ROWS, BANDS = 5, 40
 #: Members up to which a bucket proposes all pairs, and members in a block of a larger one.
 SMALL, BLOCK = 8, 256
+#: Rounds of new pivots in large buckets.
+PIVOTS = 2
+#: Salts of the two halves of a set's digest.
+SALTS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A43)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,52 +106,87 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _sketched(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
-    """(doc_id, n, f1, f2, bands): set size, a 128-bit digest of the set, and band keys."""
+def _digests(shingles: np.ndarray, bounds: np.ndarray, salts: tuple[int, ...]) -> list[np.ndarray]:
+    """A sum over each set for each salt, of hashes that no other set is likely to sum to."""
+    out = []
+    for salt in salts:
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(shingles ^ np.uint64(salt)) if salt else shingles & np.uint64(1))))
+        out.append(sums[bounds[1:]] - sums[bounds[:-1]])
+    return out
+
+
+def _sketched(docs: DataFrame, n: int, rows: int, bands: int, salts: tuple[int, ...] = SALTS) -> DataFrame:
+    """(doc_id, mark, n, f1, f2, bands): set size, a 128-bit digest of the set, and band keys."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in pieces(batches):
+        for part in slices(batches, 1 << 21):
+            texts = [t or "" for t in part.column(1).to_pylist()]
             shingles, bounds = shingle_sets(texts, n)
             sketch = sketches(shingles, bounds, rows * bands).reshape(len(texts), bands, rows)
             keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(texts), bands)).copy()
             for j in range(rows):
                 keys = _mixed(keys * _ODD + sketch[:, :, j])
-            digests = []
-            for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A43):
-                sums = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(shingles ^ np.uint64(salt)))))
-                digests.append(sums[bounds[1:]] - sums[bounds[:-1]])
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), _signed(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), *map(_signed, digests), listed], ["doc_id", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(bounds)), *map(_signed, _digests(shingles, bounds, salts)), listed], ["doc_id", "mark", "n", "f1", "f2", "bands"])
 
-    return docs.mapInArrow(make, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.withColumn("mark", mark(whole_text())).mapInArrow(make, "doc_id long, mark long, n long, f1 long, f2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, set) of the documents whose id is in ``wanted``."""
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, salts: tuple[int, ...]) -> DataFrame:
+    """(doc_id, n, f1, f2, set) of the documents whose doc_id is in ``wanted``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in pieces(batches):
             shingles, bounds = shingle_sets(texts, n)
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _signed(shingles))], ["id", "set"])
+            listed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _signed(shingles))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), *map(_signed, _digests(shingles, bounds, salts)), listed], ["doc_id", "n", "f1", "f2", "set"])
 
-    return docs.join(sendable(wanted.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(make, "id long, set array<long>")
+    return docs.join(sendable(wanted.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(make, "doc_id long, n long, f1 long, f2 long, set array<long>")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+_SET = ["n", "f1", "f2"]
+
+
+def _folded(made: DataFrame, docs: DataFrame, n: int, salts: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(made with ``part``, one row for each set: n, f1, f2, part, id, bands, rep).
+
+    Digests that occur again are checked by the smallest and largest set under each; ``part``
+    is 0 but where sets share a digest, which it then numbers.
+    """
+    again = cut(made.where("n > 0").groupBy(*_SET).agg(F.count("*").alias("c")).where("c > 1"))
+    copies = made.join(again, _SET).select("doc_id")
+    compared = _sets(docs, copies, n, salts).groupBy(*_SET).agg(F.min("set").alias("low"), F.max("set").alias("high"))
+    differ = cut(compared.where("low <> high").select(*_SET))
+    if differ.isEmpty():
+        made = made.withColumn("part", F.lit(0))
+    else:
+        told = _sets(docs, made.join(differ, _SET).select("doc_id"), n, salts).join(differ, _SET)
+        parts = told.select(*_SET, "set").distinct().withColumn("part", F.dense_rank().over(Window.partitionBy(*_SET).orderBy("set")))
+        told = told.join(parts, [*_SET, "set"]).groupBy("doc_id", *_SET).agg(F.min("part").alias("part"))
+        made = cut(made.join(told, ["doc_id", *_SET], "left").withColumn("part", F.coalesce("part", F.lit(0))))
+    reps = made.where("n > 0").groupBy(*_SET, "part").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    return made, cut(reps.withColumn("rep", F.monotonically_increasing_id()))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets(docs, wanted, n)
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     alike = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(alike).select("a", "b")
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no link connects yet."""
+    of = lambda x: comps.select(F.col("id").alias(x), F.col("component").alias(f"comp_{x}"))
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
+
+
 def _cross_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between rows of different components, as many as connect what they connect."""
-    group = group.drop_duplicates("id").reset_index(drop=True)
-    ids, comp = group["id"].to_numpy(), group["comp"].to_numpy()
+    group = group.drop_duplicates("rep").reset_index(drop=True)
+    ids, comp = group["rep"].to_numpy(), group["comp"].to_numpy()
     sizes = np.array([len(s) for s in group["set"]])
     flat = np.concatenate(group["set"].to_numpy()) if len(group) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(group)), sizes)
@@ -176,74 +223,145 @@ def _cross_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _blocks(members: DataFrame, comps: DataFrame, block: int) -> DataFrame:
-    """(key, i, j, id, comp): members of buckets that hold two components or more, dealt to pairs of blocks.
+def _open(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, rep, n, comp): members of buckets that hold two components or more; of buckets with equal members, one.
+
+    ``large``: rep, n, keys. Components are found once for a member, not once for each of its buckets.
+    """
+    each = large.join(comps.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep").select("rep", "n", "comp", F.explode("keys").alias("key"))
+    mixed = each.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)) % (1 << 40)).alias("y"))
+    one = mixed.where("low <> high").groupBy("c", "x", "y").agg(F.min("key").alias("key"))
+    return each.join(one.select("key"), "key", "left_semi")
+
+
+def _repivoted(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): a new pivot of each bucket, and the members of other components."""
+    pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "comp")).alias("p"))
+    met = members.join(cut(pivots), "key").where("comp <> p.comp").where(_close(F.col("n"), F.col("p.n"), percent))
+    return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+
+
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members that share enough of their shingles with other components for a link; others have none left to find.
 
-    The pivot's component is spread over blocks of its own; those are met with blocks of
+    A link takes ``percent`` hundredths of a set at least. Members go until no more do, three times at most.
+    """
+    own = members.select("rep", "n", "comp").distinct()
+    for _ in range(3):
+        own = cut(own)
+        spread = own.join(sets, "rep").select("rep", "n", "comp", F.explode("set").alias("shingle"))
+        common = spread.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+        enough = spread.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("c"))
+        left = cut(own.join(enough, "rep").where(F.col("c") * 100 >= F.col("n") * percent).select("rep", "n", "comp"))
+        same = left.count() == own.count()
+        own = left
+        if same:
+            break
+    return own.select("rep")
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """(key, i, j, rep, comp): members of buckets dealt to pairs of blocks.
+
+    The component of a bucket's pivot is spread over blocks of its own; those are met with blocks of
     the others, which are met with each other. Rows are dealt by hash, so no task orders a bucket.
     """
-    with_comp = members.join(comps.select("id", F.col("component").alias("comp")), "id")
-    with_comp = with_comp.join(comps.select(F.col("id").alias("pivot"), F.col("component").alias("main")), "pivot")
-    with_comp = cut(with_comp.select("key", "id", "comp", (F.col("comp") == F.col("main")).alias("same")))
-    counts = with_comp.groupBy("key").agg(F.sum(F.col("same").cast("int")).alias("n_same"), F.sum((~F.col("same")).cast("int")).alias("n_rest")).where("n_rest > 0")
+    mains = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"))
+    marked = cut(members.join(mains, "key").select("key", "rep", "comp", (F.col("comp") == F.col("main.comp")).alias("same")))
+    counts = marked.groupBy("key").agg(F.sum(F.col("same").cast("int")).alias("n_same"), F.sum((~F.col("same")).cast("int")).alias("n_rest")).where("n_rest > 0")
     counts = cut(counts.select("key", F.ceil(F.col("n_same") / block).cast("int").alias("b_same"), F.ceil(F.col("n_rest") / block).cast("int").alias("b_rest")))
-    dealt = with_comp.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("same"), F.col("b_same")).otherwise(F.col("b_rest"))).cast("int"))
+    dealt = marked.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("same"), F.col("b_same")).otherwise(F.col("b_rest"))).cast("int"))
     rest = F.sequence(F.lit(0), F.col("b_rest") - 1)
-    # Blocks of the pivot's component have numbers from b_rest on.
+    # Blocks of the largest component have numbers from b_rest on.
     mates = F.when(F.col("same"), F.transform(rest, lambda x: F.struct(x.alias("i"), (F.col("own") + F.col("b_rest")).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("b_rest") + F.col("b_same") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j")))
     )
-    return dealt.select("key", "id", "comp", F.explode(mates).alias("to")).select("key", "to.i", "to.j", "id", "comp")
+    return dealt.select("key", "rep", "comp", F.explode(mates).alias("to")).select("key", "to.i", "to.j", "rep", "comp")
+
+
+def _close(x: Column, y: Column, percent: int) -> Column:
+    """Whether the sizes of two sets alone leave room for a link."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, bands: int = BANDS, small: int = SMALL, block: int = BLOCK, salts: tuple[int, int] = SALTS) -> DataFrame:
+    """What near_duplicates() returns, with the mark of each row's text."""
+    if not 0 < rows * bands <= 512:
+        raise ValueError("a sketch has 1 to 512 coordinates")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    sketched = cut(_sketched(own, n, rows, bands, salts))
+    made, reps = _folded(sketched, own, n, salts)
+    keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
+    # One random order of all representatives, so that a group of copies has few pivots over all its buckets.
+    buckets = cut(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("p")).where("size > 1"))
+    members = cut(keyed.join(buckets.select("key", "size", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "key"))
+    star = members.where("rep <> pivot").where(_close(F.col("n"), F.col("pivot_n"), percent)).groupBy("rep", "pivot").agg(F.count("*").alias("c"))
+    star = cut(star.select("rep", "pivot", "c", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
+    few = members.where(F.col("size") <= small)
+    a, b = few.select("key", F.col("rep").alias("a"), F.col("n").alias("na")), few.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    pairs = cut(pairs.union(star.select("a", "b")).distinct())
+    large = cut(members.where(F.col("size") > small).groupBy("rep", "n").agg(F.collect_list("key").alias("keys")))  # a list of ``bands`` keys at most
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
+    wanted = cut(reps.join(wanted, "rep", "left_semi").select("rep", F.col("id").alias("doc_id"), *_SET))
+    # Of rows that share an id and a set, one will do.
+    sets = cut(_sets(own, wanted, n, salts).join(wanted, ["doc_id", *_SET]).groupBy("rep").agg(F.first("set").alias("set")))
+    drop_cut(members, buckets)
+    ids = reps.select(F.col("rep").alias("id"))
+    # First the pivot of most of a member's buckets, then all other pairs between what is not connected.
+    first = star.groupBy("rep").agg(F.max(F.struct("c", "pivot", "a", "b")).alias("s")).select("s.a", "s.b").distinct()
+    links = cut(_linked(first, sets, percent))
+    comps = cut(components(ids, links))
+    more = cut(_linked(_apart(pairs, comps), sets, percent))
+    drop_cut(pairs, star)
+    links = links.union(more)
+    comps = cut(components(ids, links))
+    for turn in range(PIVOTS):
+        met = _open(large, comps)
+        found = cut(_linked(_repivoted(cut(met), turn + 1, percent), sets, percent))
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        comps = cut(components(ids, links))
+    left = cut(_open(large, comps))
+    if not left.isEmpty():
+        left = _open(large.join(cut(_linkable(left, sets, percent)), "rep", "left_semi"), comps)
+        dealt = cut(_blocks(cut(left), block))
+        more = dealt.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(lambda g: _cross_links(g, percent), "a long, b long")
+        comps = cut(components(ids, links.union(cut(more))))
+    settle(docs)
+    smallest = reps.select(F.col("rep"), "id", *_SET, "part").join(comps.select(F.col("id").alias("rep"), "component"), "rep")
+    named = smallest.groupBy("component").agg(F.min("id").alias("component_id"))
+    # Cut, so that the join of a hot group of copies can be split.
+    named = cut(smallest.join(named, "component").select(*_SET, "part", "component_id"))
+    joined = made.select("doc_id", "mark", *_SET, "part").join(named, [*_SET, "part"], "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, bands: int = BANDS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): classes of documents linked by similar shingle sets.
 
     Two documents are linked if 100 times the size of their sets' intersection is at
     least ``percent`` times that of the union; a class is what links connect, named by
     its smallest doc_id, which is the one that stays. Null and empty texts have no
-    shingles and no links. Rows without an id are left out; ids must be unique. Other
-    columns are ignored. No rows: no rows.
+    shingles and no links: each is a class of its own. Every row with an id gives one
+    row, and rows that share an id are documents of their own (all that have their
+    class's id are kept). Rows without an id are left out. Other columns are ignored,
+    whatever their names. No rows: no rows. ``options``: ``id_col``, ``text_col``;
+    ``rows`` and ``bands`` of the sketch, 512 coordinates at most; ``small``, ``block``.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    made = cut(_sketched(own, n, rows, bands))
-    # Equal sets fold into the smallest id.
-    folded = cut(made.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")))
-    of = made.select("doc_id", "n", "f1", "f2").join(folded, ["n", "f1", "f2"]).select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("id"))
-    of = cut(of)
-    single = of.where("doc_id = id and n > 0").select("doc_id")
-    keyed = made.join(single, "doc_id").select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    # The pivot is random, another one in each bucket.
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "n")).alias("pivot")).where("size > 1")
-    members = keyed.join(cut(buckets.select("key", "size", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"))), "key")
-    members = cut(members)
-    settle(docs)
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sizes alone rule a link out
-    few, many = members.where(F.col("size") <= small), members.where(F.col("size") > small)
-    a, b = few.select("key", F.col("id").alias("a"), F.col("n").alias("na")), few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & close(F.col("na"), F.col("nb"))).select("a", "b")
-    star = many.where(F.col("id") != F.col("pivot")).where(close(F.col("n"), F.col("pivot_n"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-    links = cut(_linked(cut(pairs.union(star).distinct()), own, n, percent))
-    ids = single.select(F.col("doc_id").alias("id"))
-    comps = components(ids, links)
-    settle(docs)
-    if not many.isEmpty():
-        comps = cut(comps)
-        dealt = cut(_blocks(many.select("key", "id", "pivot"), comps, block))
-        sets = _sets(own, dealt.select("id").distinct(), n)
-        more = dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(lambda g: _cross_links(g, percent), "a long, b long")
-        more = cut(more)
-        settle(docs)
-        comps = components(ids, links.union(more))
-    # Cut, so that the join of a hot group of copies can be split.
-    joined = of.join(cut(comps), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return joined.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return _classes(docs, n, percent, **options).drop("mark")
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each class, and rows without an id."""
-    gone = near_duplicates(docs, n, percent).where("not kept").select("doc_id")
-    return docs.join(sendable(gone), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay, with its columns: one row of each class, and rows without an id.
+
+    Null and empty texts are alike to nothing and stay. Rows that share an id and a text are one
+    document; rows that share an id alone are not. No rows: no rows.
+    """
+    classes = cut(_classes(docs, n, percent))
+    twice = classes.where("kept").groupBy("doc_id", "mark").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "mark")
+    return without(docs, classes.where("not kept").select("doc_id", "mark"), twice)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,4 +369,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_near_dedup": op10_near_dedup}
-ORACLES: dict[str, str] = {}
+#: Word sequences of fewer than four words cannot equal a shingle: words hold no blanks.
+ORACLES = {
+    "op10_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                           ELSE [concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]) for i in range(1, len(w) - 2)] END) AS s FROM words),
+        folded AS (SELECT min(doc_id) AS id, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+        each AS (SELECT id, len(s) AS n, unnest(s) AS shingle FROM folded),
+        held AS (SELECT id, n, shingle FROM each WHERE shingle IN (SELECT shingle FROM each GROUP BY shingle HAVING count(*) > 1)),
+        links AS (
+            SELECT a.id AS a, b.id AS b FROM held a JOIN held b ON a.shingle = b.shingle AND a.id <> b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.id, b.id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reached(id, other) AS (
+            SELECT id, id FROM folded UNION SELECT r.id, l.b FROM reached r JOIN links l ON r.other = l.a),
+        classes AS (SELECT id, min(other) AS component FROM reached GROUP BY id),
+        named AS (SELECT f.s, c.component FROM folded f JOIN classes c ON f.id = c.id)
+        SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(n.component, d.doc_id) AS component_id, coalesce(n.component, d.doc_id) = d.doc_id AS kept
+        FROM sets d LEFT JOIN named n ON list_sort(d.s) = n.s"""
+}

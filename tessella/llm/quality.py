@@ -140,4 +140,40 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_quality_rules": r"""
+        WITH words AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+            SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS key
+            FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM words CROSS JOIN (VALUES (5), (6), (8), (10)) AS lengths(n))),
+        ranked AS (
+            SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, key) AS often, row_number() OVER (PARTITION BY doc_id, n, key ORDER BY i) AS place FROM windows),
+        repeated AS (
+            SELECT DISTINCT doc_id, i + unnest(range(0, 5)) AS i FROM ranked WHERE n = 5 AND often > 1),
+        again AS (
+            SELECT DISTINCT doc_id, n, i + unnest(range(0, n)) AS i FROM ranked WHERE place > 1),
+        shares AS (
+            SELECT a.doc_id, a.n, sum(length(w.w[a.i])) AS chars FROM again a JOIN words w ON a.doc_id = w.doc_id GROUP BY a.doc_id, a.n),
+        lines AS (
+            SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        by_line AS (
+            SELECT doc_id, line, count(*) AS n FROM lines GROUP BY doc_id, line),
+        dup_lines AS (
+            SELECT doc_id, sum(n) AS lines, sum(n - 1) AS dup, sum(n * length(line)) AS chars, sum((n - 1) * length(line)) AS dup_chars FROM by_line GROUP BY doc_id),
+        base AS (
+            SELECT w.doc_id, len(w.w) AS n_words, CAST(coalesce(list_sum([length(x) for x in w.w]), 0) AS BIGINT) AS word_chars,
+                   length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(coalesce(d.dup, 0) AS BIGINT) AS n_dup_lines,
+                   coalesce(r.n, 0) AS n_repeat_words, coalesce(d.lines, 0) AS lines, coalesce(d.dup, 0) / greatest(coalesce(d.lines, 0), 1) AS line_share,
+                   coalesce(d.dup_chars, 0) / greatest(coalesce(d.chars, 0), 1) AS line_chars, coalesce(s.five, 0) AS five, coalesce(s.six, 0) AS six, coalesce(s.eight, 0) AS eight, coalesce(s.ten, 0) AS ten
+            FROM words w LEFT JOIN dup_lines d ON w.doc_id = d.doc_id
+            LEFT JOIN (SELECT doc_id, count(*) AS n FROM repeated GROUP BY doc_id) r ON w.doc_id = r.doc_id
+            LEFT JOIN (SELECT doc_id, sum(chars) FILTER (WHERE n = 5) AS five, sum(chars) FILTER (WHERE n = 6) AS six,
+                              sum(chars) FILTER (WHERE n = 8) AS eight, sum(chars) FILTER (WHERE n = 10) AS ten FROM shares GROUP BY doc_id) s ON w.doc_id = s.doc_id)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+               n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR five / greatest(word_chars, 1) > CAST(0.15 AS DOUBLE) OR six / greatest(word_chars, 1) > CAST(0.14 AS DOUBLE)
+                    OR eight / greatest(word_chars, 1) > CAST(0.12 AS DOUBLE) OR ten / greatest(word_chars, 1) > CAST(0.10 AS DOUBLE)
+                    OR lines >= 10 AND line_share > CAST(0.30 AS DOUBLE) OR line_chars > CAST(0.20 AS DOUBLE)) AS kept
+        FROM base"""
+}

@@ -1,8 +1,8 @@
 """Token files compressed by Re-Pair grammars.
 
 Documents are range-sorted by doc_id and cut into shards of a bounded number of
-ids. In a shard, the most frequent adjacent pairs of ids are replaced by new
-nonterminals, round after round; the file keeps the rules, the number of ids
+ids. In a shard, the frequent adjacent pairs of ids are counted exactly and replaced
+by new nonterminals, round after round, until no pair is frequent; the file keeps the rules, the number of ids
 that each nonterminal expands to, and where each document's symbols begin, so
 that any document is decoded without those before it. No pair reaches over the
 end of a document. Files are written by Spark's committer, a shard to a row, so
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,83 +23,79 @@ from pyspark.sql import functions as F
 from .common import cut, documents, remove, running_sums, scratch, slices
 from .tokens import encoder
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 SHARD_IDS = 1 << 19
-#: How often a pair must occur for a rule to pay, and the most rules of a round.
-LEAST, BATCH = 16, 8192
+#: How often a pair must occur for a rule to pay.
+LEAST = 16
+#: Slots of the counts that rule rare pairs out.
+SLOT_BITS = 20
 
 
-#: Slots in which pairs are counted.
-SLOTS, SHIFT = 1 << 18, 46
+def _frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the pairs that occur ``least`` times, most frequent first, their places in ``pairs``, the number of each place's pair).
 
-
-def _counted(pairs: np.ndarray, free: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """What _frequent() returns, from the counts of all pairs."""
-    kinds, which = np.unique(pairs[free], return_inverse=True)
-    counts = np.bincount(which, minlength=len(kinds))
-    found = np.flatnonzero(counts >= least)
-    found = found[np.argsort(-counts[found], kind="stable")[:most]]
-    number = np.full(len(kinds), -1, np.int32)
-    number[found] = np.arange(len(found))
-    place = np.full(len(pairs), -1, np.int32)
-    place[free] = number[which]
-    return kinds[found], place
-
-
-def _frequent(pairs: np.ndarray, free: np.ndarray, least: int, most: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """The up to ``most`` most frequent pairs, and at each place its pair's number among them or -1.
-
-    A slot counts, exactly, one of the pairs that hash to it; the others wait for a later
-    ``turn``, which has another hash. Where the slots hold no frequent pair, all pairs are counted.
+    Pairs that share a slot are counted together first, which is never too few; what is left is counted exactly.
     """
-    slot = ((pairs * np.uint64(pow(0x9E3779B97F4A7C15, 2 * turn + 1, 1 << 64))) >> np.uint64(SHIFT)).astype(np.int64)
-    held = np.zeros(SLOTS, np.uint64)
-    held[slot] = pairs
-    own = (held[slot] == pairs) & free
-    counts = np.bincount(slot[own], minlength=SLOTS)
+    slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    may = np.flatnonzero(np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= least)
+    order = np.argsort(pairs[may])
+    may = may[order]
+    own = pairs[may]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(own)))
     found = np.flatnonzero(counts >= least)
-    if not len(found):
-        return _counted(pairs, free, least, most)
-    if len(found) > most:
-        found = found[np.argsort(-counts[found], kind="stable")[:most]]
-    number = np.full(SLOTS, -1, np.int32)
+    found = found[np.argsort(-counts[found], kind="stable")]
+    number = np.full(len(first), -1, np.int32)
     number[found] = np.arange(len(found))
-    place = number[slot]
-    place[~own] = -1
-    return held[found], place
+    number = np.repeat(number, counts)
+    kept = np.flatnonzero(number >= 0)
+    return own[first[found]], may[kept], number[kept]
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, where each document's symbols begin and the end, rules as pairs, the first nonterminal).
 
-    Rounds go on until no pair occurs ``least`` times, or until no symbol is left for a rule.
+    Each round counts pairs exactly and gives every pair that occurs ``least`` times a
+    nonterminal; of overlapping ones, which both can't be replaced, every second from the
+    left is. Rounds go on until no pair occurs ``least`` times, or no symbol is left for a
+    rule (the most frequent pairs come first then). Counts of pairs only fall, so a pair that
+    was rare is not counted again: a round looks at places beside new symbols, and at those
+    whose frequent pair was not replaced.
     """
     first = int(ids.max()) + 1 if len(ids) else 1
     room = max(0, (1 << 16) - first) or (1 << 20)  # symbols of two bytes where ids have two
-    symbols, starts, rules = ids.astype(np.uint64), bounds.astype(np.int64), []
-    made = 0
-    for turn in count():
-        if len(symbols) < 2 or made >= room:
-            break
-        free = np.ones(len(symbols), bool)
-        free[starts[1:][starts[1:] > 0] - 1] = False  # a document's last symbol begins no pair
-        free = free[:-1]
-        pairs = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        chosen, place = _frequent(pairs, free, least, min(BATCH, room - made), turn)
-        if not len(chosen):
+    symbols, starts, rules, made = ids.astype(np.uint32), bounds.astype(np.int64), [], 0
+    last = np.zeros(len(symbols), bool)
+    last[starts[1:][starts[1:] > 0] - 1] = True  # a document's last symbol begins no pair
+    live = ~last
+    while made < room:
+        at = np.flatnonzero(live[:-1])
+        kinds, where, number = _frequent(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], least)
+        if not len(kinds):
             break
+        where = at[where]
+        live[:] = False
+        live[where] = True
+        kinds = kinds[: room - made]
+        chosen = np.full(len(symbols), -1, np.int32)
+        chosen[where] = np.where(number < len(kinds), number, -1)
+        hits = np.flatnonzero(chosen >= 0)
         # In a run of hits every second one is replaced, from its start on: replaced pairs don't overlap.
-        at = np.flatnonzero(place >= 0)
-        new = np.concatenate(([True], np.diff(at) > 1))
-        run = at[new][np.cumsum(new) - 1]
-        at = at[(at - run) % 2 == 0]
-        symbols[at] = place[at].astype(np.uint64) + np.uint64(first + made)
+        new = np.ones(len(hits), bool)
+        new[1:] = np.diff(hits) > 1
+        hits = hits[(hits - hits[new][np.cumsum(new) - 1]) % 2 == 0]
+        symbols[hits] = chosen[hits] + np.uint32(first + made)
+        live[hits] = live[np.maximum(hits - 1, 0)] = True
+        last[hits] = last[hits + 1]
         kept = np.ones(len(symbols), bool)
-        kept[at + 1] = False
-        moved = np.concatenate(([0], np.cumsum(kept)))
-        symbols, starts = symbols[kept], moved[starts]
-        rules.append(chosen)
-        made += len(chosen)
+        kept[hits + 1] = False
+        starts = starts - np.searchsorted(hits, starts)
+        symbols, live, last = symbols[kept], live[kept], last[kept]
+        live &= ~last
+        rules.append(kinds)
+        made += len(kinds)
     flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     return symbols, starts, np.column_stack((flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF))).astype("<u4"), first
 
@@ -116,12 +111,12 @@ def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(sizes, "<u4"), np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def encode_shard(doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> bytes:
-    """Header, then doc_ids, ids and symbols by document, rules, expansion lengths, symbols."""
+def encode_shard(doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray, nulls: int = 0) -> bytes:
+    """Header, then doc_ids, ids and symbols by document, rules, expansion lengths, symbols. The first ``nulls`` doc_ids are null."""
     symbols, starts, rules, first = compress(ids, bounds)
     lengths, _ = expansions(rules, first)
     wide = first + len(rules) > 1 << 16
-    head = np.array([len(doc_ids), len(rules), first, len(symbols), wide], "<u8").tobytes()
+    head = np.array([len(doc_ids), len(rules), first, len(symbols), wide, nulls], "<u8").tobytes()
     parts = [doc_ids.astype("<i8"), np.diff(bounds).astype("<u4"), np.diff(starts).astype("<u4"), rules, lengths, symbols.astype("<u4" if wide else "<u2")]
     return MAGIC + head + b"".join(p.tobytes() for p in parts)
 
@@ -132,8 +127,8 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a token shard")
-        n, r, self.first, m, wide = map(int, np.frombuffer(data, "<u8", 5, 4))
-        at = 44
+        n, r, self.first, m, wide, self.nulls = map(int, np.frombuffer(data, "<u8", 6, 4))
+        at = 52
 
         def read(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -176,8 +171,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col
         number, held, size = TaskContext.get().partitionId() << 24, [], 0
 
         def out() -> pa.RecordBatch:
-            doc_ids, ids, counts = (np.concatenate(x) for x in zip(*held))
-            data = encode_shard(doc_ids, ids, np.concatenate(([0], np.cumsum(counts))))
+            doc_ids, ids, counts, nulls = (np.concatenate(x) for x in zip(*held))
+            data = encode_shard(doc_ids, ids, np.concatenate(([0], np.cumsum(counts))), int(nulls.sum()))
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["shard", "n_docs", "n_ids", "data"])
 
         for part in slices(batches, 12 << 20):
@@ -185,7 +180,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col
             ids, bounds = encoder(vocabulary).encode(part.column(1))
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             counts = np.diff(bounds) + 1
-            doc_ids = doc_ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            nulls = doc_ids.is_null().to_numpy(zero_copy_only=False)
+            doc_ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
             at = 0
             ends = np.cumsum(counts)
             while at < len(counts):
@@ -193,7 +189,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col
                 to = max(int(np.searchsorted(ends, room, "right")), at + (not held))
                 if to > at:
                     a, b = int(ends[at - 1]) if at else 0, int(ends[to - 1])
-                    held.append((doc_ids[at:to], ids[a:b], counts[at:to]))
+                    held.append((doc_ids[at:to], ids[a:b], counts[at:to], nulls[at:to]))
                     size, at = size + b - a, to
                 if at < len(counts):
                     yield out()
@@ -213,12 +209,15 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             view, ends = memoryview(ids.tobytes()), np.cumsum(shard.sizes, dtype=np.int64)
             starts = ends - shard.sizes
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            doc_ids = pa.array(shard.doc_ids, mask=shard.doc_ids == -(1 << 63))
+            doc_ids = pa.array(shard.doc_ids, mask=np.arange(len(crc)) < shard.nulls)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(crc), number)), doc_ids, pa.array(starts), pa.array(shard.sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files; ``start`` counts all ids before it."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files; ``start`` counts all ids before it.
+
+    A row for each row written, null ids (which come first) and repeated ones too. An empty table: no rows.
+    """
     files = spark.read.parquet(folder)
     starts = running_sums(files.select("shard", "n_ids"), [], ["shard"], before="n_ids").select("shard", "before")
     rows = files.select("shard", "data").mapInArrow(_decoded, "shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")

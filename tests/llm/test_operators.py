@@ -76,7 +76,7 @@ def test_exact_dedup(docs):
 
 def test_exact_dedup_tells_contents_apart_that_share_a_hash(docs):
     same = lambda c: F.char_length(c).cast("long") % 2
-    found = exact_dedup.identities(docs, block=50, hashed=same).groupBy("round", "name").agg(F.sort_array(F.collect_list("row")).alias("g")).collect()
+    found = exact_dedup.identities(docs, [F.col("doc_id")], block=50, hashed=same).groupBy("round", "name").agg(F.sort_array(F.collect_list("row.doc_id")).alias("g")).collect()
     groups = {}
     for i, t in TEXTS.items():
         groups.setdefault(t or "", []).append(i)
@@ -224,10 +224,9 @@ def test_shards_decode(texts):
     assert len(symbols) <= len(ids) and (token_files.expansions(rules, first)[0] >= 2).all()
 
 
-@pytest.mark.parametrize(("slots", "shift"), [(token_files.SLOTS, token_files.SHIFT), (2, 63)])  # with two slots, most pairs collide
-def test_no_frequent_pair_is_left(slots, shift, monkeypatch):
-    monkeypatch.setattr(token_files, "SLOTS", slots)
-    monkeypatch.setattr(token_files, "SHIFT", shift)
+@pytest.mark.parametrize("bits", [token_files.SLOT_BITS, 1])  # with two slots, most pairs collide
+def test_no_frequent_pair_is_left(bits, monkeypatch):
+    monkeypatch.setattr(token_files, "SLOT_BITS", bits)
     rng = np.random.default_rng(5)
     ids = np.minimum(rng.zipf(1.3, 6000), 300).astype(np.uint32)
     bounds = np.array([0, 0, 2000, 2001, 6000])
@@ -252,7 +251,7 @@ def test_mixing(spark, docs, none):
     for own in by_source.values():
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.5 and own[0]["source_size"] == sum(r["size"] for r in own)
     assert mixing.mix(none).count() == 0 and sorted(mixing.mix(docs).collect()) == sorted(found)
-    assert mixing.repeated(docs, mixing.mix(docs)).columns == docs.columns
+    assert mixing.mixed_documents(docs).columns == docs.columns
 
 
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=7))
@@ -381,7 +380,9 @@ def test_line_index_is_reversible(spark, docs):
     assert changed.count() <= 2
     for r in changed.collect():
         own = [k["fp"] for k in after.collect() if (k["fp"] >> 20) % 2 == r["shard"]]
-        assert line_dedup.CuckooFilter.read(bytes(r["filter"])).holds(np.array(own, np.int64)).all()
+        made = line_dedup.CuckooFilter.read(bytes(r["filter"]))
+        assert made.holds(np.array(own, np.int64)).all() and np.count_nonzero(made.table) == len(own)  # nothing of the keys that left
+    assert after.count() < before.count()
 
 
 @given(st.sets(st.integers(0, (1 << 64) - 1), max_size=400), st.data())
@@ -454,3 +455,178 @@ def test_sketch_agreement_is_near_similarity():
     sketch = near_dedup.sketches(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets]))), 200)
     assert abs((sketch[0] == sketch[1]).mean() - 0.6) < 0.12
     assert (sketch != np.uint64((1 << 64) - 1)).all()
+
+
+def test_near_dedup_compares_folds(docs):
+    """With digests that nearly all sets share, sets are told apart by content."""
+    found = by_id(near_dedup.near_duplicates(docs, salts=(0, 0)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == brute.near(TEXTS)
+
+
+def test_near_dedup_rows_grow_with_members(spark):
+    """Members of one group of near copies: what is dealt to blocks does not grow with their pairs."""
+    rng, dealt = random.Random(3), []
+    base = [f"w{i}" for i in range(150)]
+    plain = near_dedup._blocks
+    for size in (300, 600):
+        data = []
+        for i in range(size):
+            words = list(base)
+            for _ in range(rng.choice([1, 2, 3])):
+                words[rng.randrange(150)] = f"e{i}"
+            data.append((i, " ".join(words)))
+        count = [0]
+
+        def counted(*args):
+            out = plain(*args).cache()
+            count[0] += out.count()
+            return out
+
+        near_dedup._blocks = counted
+        try:
+            near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).count()
+        finally:
+            near_dedup._blocks = plain
+        dealt.append(count[0])
+    assert dealt[1] <= 3 * max(dealt[0], 100)
+
+
+# Rows that repeat, ids that are null, and columns with the operators' own names
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, mark long, mix string, copy int, _r long, _range int, _copy int, _times int, size long, key string, rep long, gone string, label int"
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    texts = [(1, "one two three four"), (1, "one two three four"), (1, "other words stand here"), (2, "one two three four"), (3, near), (3, near), (4, near + " more"), (None, "one two three four"), (None, near), (5, None), (5, ""), (6, "x" * 5000), (6, "y" * 5000), (7, "x" * 5000)]
+    return spark.createDataFrame([(i, t, "en", ["a", None][k % 2], 3, None, "m", 1, 2, 3, 4, 5, 6, "k", 7, "g", 0) for k, (i, t) in enumerate(texts)], CLASHING).repartition(3)
+
+
+def kept_texts(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_exact_dedup_of_repeated_rows(repeated):
+    found = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(repeated).collect())
+    assert found == sorted([(1, 2, 3, False)] * 2 + [(1, 1, 1, True), (2, 2, 3, True)] + [(3, 3, 2, True)] * 2 + [(4, 4, 1, True)] + [(5, 5, 2, True)] * 2 + [(6, 7, 2, False), (6, 6, 1, True), (7, 7, 2, True)])
+    near = " ".join(f"w{i}" for i in range(60))
+    left = exact_dedup.drop_copies(repeated)
+    assert left.columns == repeated.columns
+    want = [(1, "other words stand here"), (2, "one two three four"), (3, near), (4, near + " more"), (None, "one two three four"), (None, near), (6, "y" * 5000), (7, "x" * 5000)]
+    got = [(i, t) for i, t in kept_texts(left) if i != 5]
+    assert got == sorted(want, key=repr) and left.where("doc_id = 5").count() == 1
+
+
+def test_near_dedup_of_repeated_rows(repeated):
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(repeated).collect())
+    assert found == sorted([(1, 1, 1, True)] * 3 + [(2, 1, 1, False)] + [(3, 57, 3, True)] * 2 + [(4, 58, 3, False)] + [(5, 0, 5, True)] * 2 + [(6, 1, 6, True)] * 2 + [(7, 1, 6, False)])
+    left = near_dedup.drop_near_copies(repeated, n=4)
+    assert left.columns == repeated.columns
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 0, 1, 1, 3, 5, 6, 6]
+
+
+def test_mixing_of_repeated_rows(repeated):
+    found = mixing.mix(repeated).collect()
+    assert len(found) == 14 and sorted(mixing.mix(repeated).collect(), key=repr) == sorted(found, key=repr)
+    times = Counter()
+    for r in found:
+        times[r["doc_id"], r["source"], r["size"]] += int(r["taken"] / r["size"] + 0.5) if r["size"] else 1
+    mixed = mixing.mixed_documents(repeated)
+    assert mixed.columns == repeated.columns
+    got = Counter((r["doc_id"], r["source"], len(brute.WORD.findall(r["text"] or ""))) for r in mixed.collect())
+    assert got == +times
+
+
+def test_other_operators_keep_repeated_rows(spark, repeated, tmp_path):
+    assert pii.personal_data(repeated).count() == quality.repetition(repeated).count() == line_dedup.dedup_lines(repeated).count() == 14
+    model = toxicity.fit(repeated, spark.createDataFrame([(1, 1), (1, 0), (3, 0)], "doc_id long, toxic int"))
+    assert toxicity.scored(repeated, model).count() == 14
+    token_files.write(repeated, str(tmp_path / "t"), VOCABULARY)
+    back = token_files.read_back(spark, str(tmp_path / "t")).collect()
+    assert len(back) == 14 and sum(r["doc_id"] is None for r in back) == 2
+    pieces = packing.packed_documents(repeated, VOCABULARY).collect()
+    assert sum(r["length"] for r in pieces) == sum(r["n_tokens"] for r in back)
+
+
+def test_smallest_id_is_not_null(spark, tmp_path):
+    low = -(1 << 63)
+    token_files.write(spark.createDataFrame([(low, "a"), (None, "b")], "doc_id long, text string"), str(tmp_path / "t"), VOCABULARY)
+    assert [r["doc_id"] for r in token_files.read_back(spark, str(tmp_path / "t")).orderBy("start").collect()] == [None, low]
+
+
+def test_chat_of_one_long_conversation(spark):
+    """Windows do not carry the conversation: many turns of one fit into a small heap."""
+    turns = spark.range(6000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("abcd "), 120).alias("text"))
+    back = chat.read_back(chat.windows(turns)).select(F.size("turns").alias("n"), F.length("loss_text").alias("loss")).first()
+    assert tuple(back) == (6000, 3000 * 600)
+
+
+def test_chat_query(spark):
+    """op2_chat_format itself, with conversation -7, against a plain version of every contract column but the formatted length."""
+    data = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    data += [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+    found, want = by_id(queries.QUERIES["op2_chat_format"](spark, SMALL), "conv_id"), formatted(data)
+    assert found.keys() == want.keys()
+    for conv, own in want.items():
+        said, learnt, r = "".join(f"{a}\n{b}\n" for a, b in own), "".join(b for a, b in own if a == "assistant"), found[conv]
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(own), sha256(said.encode()).hexdigest(), len(learnt), sha256(learnt.encode()).hexdigest())
+        assert r["formatted_chars"] >= len(said)
+
+
+def test_chat_system_turns_are_bounded(spark):
+    data = [(1, i, "system", "be kind", 0, 0) for i in range(40)] + [(1, i, "user", " ".join(["w"] * 20), 0, 0) for i in range(40, 60)]
+    for w in chat.windows(turns(spark, data), budget=100, history=30, chapter=7).collect():
+        assert sum(len(t.split("\n")[1].split()) + chat.TURN_TOKENS for t in w["text"].split("<turn ")[1:]) <= 100
+    back = chat.read_back(chat.windows(turns(spark, data), budget=100, history=30, chapter=7)).first()
+    assert [t["text"] for t in back["turns"]] == [t for *_, t, _, _ in data]
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("abZß éÉ1.,'-\t\n\u00a0\u0301ﬁ漢#<|endoftext|>"), max_size=30), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_token_ids_are_those_of_the_library(parts):
+    """The word encoder's shortcuts against the tokenizers library on whole texts."""
+    import pyarrow as pa
+
+    from tessella.llm.tokens import encoder
+
+    ids, bounds = encoder(VOCABULARY).encode(pa.array(parts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x[:-1].tolist() for x in ids_of(parts)] if parts else not len(ids)
+
+
+def test_packing_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    held_packing(queries.QUERIES["op3_packing"](spark, SMALL).collect(), dict(zip(docs, ids_of(docs.values()))))
+
+
+def test_token_files_query(spark):
+    docs, at = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}, 0
+    found = by_id(queries.QUERIES["op4_token_files"](spark, SMALL))
+    for doc, ids in sorted(zip(docs, ids_of(docs.values()))):
+        assert tuple(found[doc])[1:] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len(found) == len(docs)
+
+
+def test_pii_query(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    found = by_id(queries.QUERIES["op7_pii"](spark, SMALL))
+    names = ("email", "ip", "card", "phone")
+    for doc, text in docs.items():
+        base = brute.base_spans(text)
+        assert found[doc]["base_sha256"] == sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert set(f"{names[k]}:{a}:{b}" for a, k, b in base) <= set(found[doc]["spans"].split(","))
+        assert [found[doc][f"n_{n}"] for n in names] == [sum(k == j for _, k, _ in base) for j in range(4)]
+    assert len(found) == len(docs)
+
+
+def test_toxicity_query(spark):
+    """Held-out documents of sf0.01, whose labels have some noise: few are toxic; half of them are found at least, few others flagged."""
+    folder = SMALL.replace("0.001", "0.01")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = by_id(queries.QUERIES["op6_toxicity"](spark, folder))
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items())
+    held = [(labels[i], found[i]["predicted"]) for i in labels if i in found and found[i]["held_out"]]
+    toxic, clean = [p for t, p in held if t], [p for t, p in held if not t]
+    assert toxic and sum(toxic) >= 0.5 * len(toxic) and sum(clean) <= 0.1 * len(clean)

@@ -28,8 +28,13 @@ def test_columns(stages):
     assert all(df.columns == stages[0].columns for df in stages[:-1])
 
 
-def test_toxic_documents_go(stages):
-    assert 0.5 * stages[0].count() < stages[1].count() <= stages[0].count()
+def test_toxic_documents_go(spark):
+    """On sf0.01: the smallest tables hold too few toxic labels to learn from."""
+    folder = SMALL.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    before, after = texts(docs), texts(corpus_pipeline.toxicity(spark, docs, folder))
+    toxic, clean = [i for i in before if labels.get(i) == 1], [i for i in before if labels.get(i) == 0]
+    assert after.items() <= before.items() and sum(i not in after for i in toxic) >= 0.7 * len(toxic) and sum(i in after for i in clean) >= 0.95 * len(clean)
 
 
 def test_copies_go(stages):
@@ -67,8 +72,12 @@ def test_run(spark, stages):
 
 
 def test_null_columns_and_no_rows(spark, stages):
-    for rows in ([], [(1, None, None, None, None), (None, "a toxic text", None, None, None), (3, "", "en", None, 0)]):
+    twice = " ".join(f"w{i}" for i in range(30))
+    some = [(1, None, None, None, None), (None, "a text", None, None, None), (3, "", "en", None, 0), (4, twice, None, "a", 1), (4, twice, None, "a", 1), (4, "other words", None, "a", 1)]
+    for rows, left in (([], set()), (some, {None, 3, 4})):
         docs = spark.createDataFrame(rows, stages[0].schema)
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SMALL)
-        assert docs.count() >= 0
+        found = docs.collect()
+        assert {r["doc_id"] for r in found} <= {None, 1, 3, 4} and {r["doc_id"] for r in found} >= left - {None}
+        assert bool(found) == bool(rows)
