@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.common import remove, scratch
 from tessella.llm.exact_dedup import drop_copies
-from tessella.llm.mixing import mix, repeated
+from tessella.llm.mixing import mixed_documents
 from tessella.llm.near_dedup import drop_near_copies
 from tessella.llm.packing import packed_documents
 from tessella.llm.toxicity import drop_toxic
@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeated(docs, mix(docs))
+    return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
