@@ -5,16 +5,21 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` stored reliably in the shared checkpoint folder, its lineage cut.
 
     The folder is the session's ``spark.checkpoint.dir``. Where the session names none, a folder
     of our own is set on a local master; on a cluster, whose machines share no local folder, that is an error.
+    The shuffle files of ``df`` are dropped as soon as it is stored.
     """
+    conf = df.sparkSession.conf
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -23,7 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = os.path.join(tempfile.gettempdir(), "tessella-checkpoints")
         context.setCheckpointDir(named)
-    return df.checkpoint()
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a frame of its own: the setting is read when a frame is made
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def drop_cut(*frames: DataFrame) -> None:
@@ -35,15 +45,26 @@ def drop_cut(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settle(df: DataFrame) -> None:
-    """Asks the driver to collect its garbage: Spark drops shuffle files when their objects go, and not before.
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """cut(df), its number of rows, and a hash of all of them, both taken while it is stored."""
+    seen = Observation()
+    stored = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")))
+    return stored, seen.get["n"], seen.get["x"] or 0
 
-    Files of cut() need no collection; see drop_cut().
-    """
-    import gc
 
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+def rooted(parents: DataFrame) -> DataFrame:
+    """(id, component): the root that each id's parents lead to, of (id, parent) with one parent an id and no cycles.
+
+    Every round doubles the steps that a pointer takes. Ids that are a parent only are not returned.
+    """
+    at, _, state = cut_counted(parents.select("id", F.col("parent").alias("component")))
+    while True:
+        further = at.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        past, before = at, state
+        at, _, state = cut_counted(at.join(further, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
+        drop_cut(past)
+        if state == before:
+            return at
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -55,11 +76,7 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     its own component; null ids never link.
     """
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = state(edges)
+    edges, *seen = cut_counted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         # Larger neighbours of every vertex go under its smallest neighbour (or itself).
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -70,9 +87,9 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
         # Smaller neighbours go under the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        past, edges = edges, cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        past, before = edges, seen
+        edges, *seen = cut_counted(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         drop_cut(past)
-        before, seen = seen, state(edges)
         if seen == before:
             break
     roots = edges.groupBy("u").agg(F.min("v").alias("_root"))
