@@ -7,9 +7,9 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, cut, drop_cut, settle
+from ..operators.graph import components, cut, cut_counted, drop_cut, rooted
 
-__all__ = ["components", "cut", "drop_cut", "settle"]
+__all__ = ["components", "cut", "drop_cut", "rooted"]
 #: Rows of ids that may be sent to every executor; larger sides are joined by a shuffle.
 MOST_SENT = 2_000_000
 #: ASCII white space, as the operators' contracts spell it.
@@ -60,8 +60,8 @@ def sendable(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
 
     With more rows, the join that it is the side of shuffles both sides.
     """
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= most else df
+    df, n, _ = cut_counted(df)
+    return F.broadcast(df) if n <= most else df
 
 
 def scratch(spark: SparkSession) -> str:

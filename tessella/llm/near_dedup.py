@@ -10,9 +10,9 @@ Documents with equal sets fold into one representative; the sets of a fold are
 compared whole. Bands of the sketch put representatives into buckets, and a
 bucket proposes its pivot to every member. Each member meets first the pivot that
 most of its buckets propose; what that leaves unconnected meets the other pivots
-and, in small buckets, each other. Large buckets that still hold more than one
-component get new pivots; then members go that share too few shingles with
-other components to link to any, and the rest is compared in blocks, inside tasks
+and, in small buckets, each other. Of large buckets that still hold more than one
+component, members go that share too few shingles with other components to link
+to any, and the rest is compared in blocks, inside tasks
 that hold the full sets of two blocks and give back links only. So rows grow with
 the members of a bucket, not with their pairs. Every link is verified on full
 sets; none is drawn from the sketch.
@@ -32,15 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import components, cut, documents, drop_cut, mark, pieces, sendable, settle, slices, whole_text, without
+from .common import components, cut, documents, drop_cut, mark, pieces, rooted, sendable, slices, whole_text, without
 from .quality import _mixed
 
 #: Coordinates in a band, and bands: a pair at 0.8 shares none with a probability of 1.3e-7.
 ROWS, BANDS = 5, 40
 #: Members up to which a bucket proposes all pairs, and members in a block of a larger one.
 SMALL, BLOCK = 8, 256
-#: Rounds of new pivots in large buckets.
-PIVOTS = 2
 #: Salts of the two halves of a set's digest.
 SALTS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A43)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -169,24 +167,36 @@ def _folded(made: DataFrame, docs: DataFrame, n: int, salts: tuple[int, ...]) ->
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
+    """The pairs (a, b, and other columns) whose full sets are similar enough."""
+    pairs = cut(pairs)
+    own = sets.join(sendable(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi")
+    left = own.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
+    right = own.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     alike = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(alike).select("a", "b")
+    return cut(pairs.join(left, "a").join(right, "b").where(alike).select(pairs.columns))
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that no link connects yet."""
+    """(a, b, comp_a, comp_b): the pairs that no link connects yet."""
     of = lambda x: comps.select(F.col("id").alias(x), F.col("component").alias(f"comp_{x}"))
-    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b", "comp_a", "comp_b")
+
+
+def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """The components after links between them: (comp_a, comp_b) in ``found``."""
+    links = cut(found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
+    if links.isEmpty():
+        return comps
+    met = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    roots = sendable(components(met, links).select(F.col("id").alias("component"), F.col("component").alias("root")).where("component <> root"))
+    return cut(comps.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
 
 
 def _cross_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between rows of different components, as many as connect what they connect."""
+    """Links between components of the rows, as many as connect what they connect."""
     group = group.drop_duplicates("rep").reset_index(drop=True)
-    ids, comp = group["rep"].to_numpy(), group["comp"].to_numpy()
+    comp = group["comp"].to_numpy()
     sizes = np.array([len(s) for s in group["set"]])
     flat = np.concatenate(group["set"].to_numpy()) if len(group) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(group)), sizes)
@@ -218,9 +228,9 @@ def _cross_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
         p, q = find(comp[a]), find(comp[b])
         if p != q:
             root[max(p, q)] = min(p, q)
-            out.append((int(ids[a]), int(ids[b])))
+            out.append((int(comp[a]), int(comp[b])))
     del common, union
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return pd.DataFrame(out, columns=["comp_a", "comp_b"], dtype="int64")
 
 
 def _open(large: DataFrame, comps: DataFrame) -> DataFrame:
@@ -234,30 +244,16 @@ def _open(large: DataFrame, comps: DataFrame) -> DataFrame:
     return each.join(one.select("key"), "key", "left_semi")
 
 
-def _repivoted(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): a new pivot of each bucket, and the members of other components."""
-    pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "comp")).alias("p"))
-    met = members.join(cut(pivots), "key").where("comp <> p.comp").where(_close(F.col("n"), F.col("p.n"), percent))
-    return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-
-
 def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The members that share enough of their shingles with other components for a link; others have none left to find.
 
-    A link takes ``percent`` hundredths of a set at least. Members go until no more do, three times at most.
+    A link takes ``percent`` hundredths of a set at least.
     """
-    own = members.select("rep", "n", "comp").distinct()
-    for _ in range(3):
-        own = cut(own)
-        spread = own.join(sets, "rep").select("rep", "n", "comp", F.explode("set").alias("shingle"))
-        common = spread.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
-        enough = spread.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("c"))
-        left = cut(own.join(enough, "rep").where(F.col("c") * 100 >= F.col("n") * percent).select("rep", "n", "comp"))
-        same = left.count() == own.count()
-        own = left
-        if same:
-            break
-    return own.select("rep")
+    own = sendable(members.select("rep", "n", "comp").distinct())
+    spread = sets.join(own, "rep").select("rep", "n", "comp", F.explode("set").alias("shingle"))
+    common = spread.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+    # Both sides are shuffled, so that the skew join can split a shingle of many members.
+    return spread.join(common, "shingle").groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") * 100 >= F.col("n") * percent).select("rep")
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -309,27 +305,18 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text
     drop_cut(members, buckets)
     ids = reps.select(F.col("rep").alias("id"))
     # First the pivot of most of a member's buckets, then all other pairs between what is not connected.
-    first = star.groupBy("rep").agg(F.max(F.struct("c", "pivot", "a", "b")).alias("s")).select("s.a", "s.b").distinct()
-    links = cut(_linked(first, sets, percent))
-    comps = cut(components(ids, links))
-    more = cut(_linked(_apart(pairs, comps), sets, percent))
+    first = star.groupBy("rep").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    # A pivot comes before its members in the random order, so that links to them make a forest.
+    trees = rooted(_linked(first, sets, percent).select(F.col("a").alias("id"), F.col("b").alias("parent")))
+    comps = cut(ids.join(trees, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    comps = _merged(comps, _linked(_apart(pairs, comps), sets, percent))
     drop_cut(pairs, star)
-    links = links.union(more)
-    comps = cut(components(ids, links))
-    for turn in range(PIVOTS):
-        met = _open(large, comps)
-        found = cut(_linked(_repivoted(cut(met), turn + 1, percent), sets, percent))
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        comps = cut(components(ids, links))
     left = cut(_open(large, comps))
     if not left.isEmpty():
         left = _open(large.join(cut(_linkable(left, sets, percent)), "rep", "left_semi"), comps)
         dealt = cut(_blocks(cut(left), block))
-        more = dealt.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(lambda g: _cross_links(g, percent), "a long, b long")
-        comps = cut(components(ids, links.union(cut(more))))
-    settle(docs)
+        more = dealt.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(lambda g: _cross_links(g, percent), "comp_a long, comp_b long")
+        comps = _merged(comps, more)
     smallest = reps.select(F.col("rep"), "id", *_SET, "part").join(comps.select(F.col("id").alias("rep"), "component"), "rep")
     named = smallest.groupBy("component").agg(F.min("id").alias("component_id"))
     # Cut, so that the join of a hot group of copies can be split.
