@@ -100,24 +100,44 @@ def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tuple[n
     return symbols, starts, np.column_stack((flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF))).astype("<u4"), first
 
 
-def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of ids of each nonterminal, all their ids end to end). Rules refer to earlier ones only."""
+def lengths(rules: np.ndarray, first: int) -> np.ndarray:
+    """Number of ids of each nonterminal. Rules refer to earlier ones only."""
     sizes: list[int] = []
-    out: list[np.ndarray] = []
     for a, b in rules.tolist():
-        parts = [out[x - first] if x >= first else np.array([x], "<u4") for x in (a, b)]
-        out.append(np.concatenate(parts))
-        sizes.append(len(out[-1]))
-    return np.array(sizes, "<u4"), np.concatenate(out) if out else np.zeros(0, "<u4")
+        sizes.append((sizes[a - first] if a >= first else 1) + (sizes[b - first] if b >= first else 1))
+    return np.array(sizes, "<u4")
+
+
+def expanded(symbols: np.ndarray, size: np.ndarray, place: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The ids of symbols, end to end; symbol x has ``size[x]`` ids from ``place[x]`` on in ``table``."""
+    own = size[symbols]
+    ends = np.cumsum(own)
+    return table[np.repeat(place[symbols] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, place, table) of all symbols, as expanded() takes them; rules that only need what is laid out are laid out together."""
+    size = np.concatenate((np.ones(first, np.int64), lengths(rules, first).astype(np.int64)))
+    place = np.cumsum(size) - size
+    table = np.empty(int(size.sum()), "<u4")
+    table[:first] = np.arange(first)
+    at = 0
+    while at < len(rules):
+        # The next rules up to the first one that refers to one of them.
+        later = np.flatnonzero((rules[at:] >= first + at).any(1))
+        to = at + int(later[0]) if len(later) else len(rules)
+        a, b = place[first + at], place[first + to - 1] + size[first + to - 1]
+        table[a:b] = expanded(rules[at:to].reshape(-1), size, place, table)
+        at = to
+    return size, place, table
 
 
 def encode_shard(doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray, nulls: int = 0) -> bytes:
     """Header, then doc_ids, ids and symbols by document, rules, expansion lengths, symbols. The first ``nulls`` doc_ids are null."""
     symbols, starts, rules, first = compress(ids, bounds)
-    lengths, _ = expansions(rules, first)
     wide = first + len(rules) > 1 << 16
     head = np.array([len(doc_ids), len(rules), first, len(symbols), wide, nulls], "<u8").tobytes()
-    parts = [doc_ids.astype("<i8"), np.diff(bounds).astype("<u4"), np.diff(starts).astype("<u4"), rules, lengths, symbols.astype("<u4" if wide else "<u2")]
+    parts = [doc_ids.astype("<i8"), np.diff(bounds).astype("<u4"), np.diff(starts).astype("<u4"), rules, lengths(rules, first), symbols.astype("<u4" if wide else "<u2")]
     return MAGIC + head + b"".join(p.tobytes() for p in parts)
 
 
@@ -140,15 +160,10 @@ class Shard:
         self.rules, self.lengths = read("<u4", 2 * r).reshape(-1, 2), read("<u4", r)
         self.symbols = read("<u4" if wide else "<u2", m)
         self.starts = np.concatenate(([0], np.cumsum(own, dtype=np.int64)))
-        _, made = expansions(self.rules, self.first)
-        self.table = np.concatenate((np.arange(self.first, dtype="<u4"), made))
-        self.size = np.concatenate((np.ones(self.first, np.int64), self.lengths.astype(np.int64)))
-        self.place = np.cumsum(self.size) - self.size
+        self.size, self.place, self.table = expansions(self.rules, self.first)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        size = self.size[symbols]
-        ends = np.cumsum(size)
-        return self.table[np.repeat(self.place[symbols] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return expanded(symbols, self.size, self.place, self.table)
 
     def ids(self, k: int) -> np.ndarray:
         return self._expand(self.symbols[self.starts[k] : self.starts[k + 1]])

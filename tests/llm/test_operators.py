@@ -221,7 +221,7 @@ def test_shards_decode(texts):
     symbols, _, rules, first = token_files.compress(ids, bounds, least=2)
     shard = token_files.Shard(token_files.encode_shard(np.arange(len(texts)), ids, bounds))
     assert [shard.ids(k).tolist() for k in range(len(texts))] == texts and (shard.all_ids() == ids).all()
-    assert len(symbols) <= len(ids) and (token_files.expansions(rules, first)[0] >= 2).all()
+    assert len(symbols) <= len(ids) and (token_files.lengths(rules, first) >= 2).all()
 
 
 @pytest.mark.parametrize("bits", [token_files.SLOT_BITS, 1])  # with two slots, most pairs collide
