@@ -120,21 +120,30 @@ def stations(vertices: DataFrame, line: str, seq: str, step: float) -> DataFrame
     return made.select(line, "i", at.alias("s"), (F.col("x") + share * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + share * (F.col("y1") - F.col("y"))).alias("y"))
 
 
-def exception_runs(series: DataFrame, line: str, place: str, value: str, base: str, least_delta: float = 2.0, relative: float = 0.30, most_gap: int = 2, least: int = 3, most_spread: float = 2.5) -> DataFrame:
-    """(line, run, first, last, n, level): stretches that stay away from the base width, on one side of it, and are steady.
-
-    A place is strong if it differs by more than ``least_delta`` and by ``relative`` of the
-    base; short gaps are bridged; the median of a run is its level, and the median distance
-    to that is its spread.
+def exception_runs(series: DataFrame, line: str, place: str, value: str, base: str, gate: str, most_gap: int = 2, least: int = 3, shrink: bool = True) -> DataFrame:
+    """(line, side, run, first, last, n, level): stretches that hold a steady width of their own, wider or (``shrink``) narrower than the line's.
+
+    A sample is strong if it is off the base by more than the gate, on the stretch's side; a gap
+    of at most ``most_gap`` samples is bridged if all of it is off by more than half the gate. A
+    stretch counts from ``least`` samples on, gaps included, if its median is off by more than the
+    gate, and if 1.4826 times the median distance to that is 1 at most, or 0.6 of what it is off
+    by. ``base`` and ``gate`` are the same all along a line; samples without a value are left out;
+    ``first`` and ``last`` count the others from 1.
     """
-    away = F.col(value) - F.col(base)
-    strong = F.abs(away) >= F.greatest(F.lit(least_delta), relative * F.col(base))
-    sided = series.withColumn("_side", F.when(strong & (away > 0), 1).when(strong, -1))
-    w = Window.partitionBy(line).orderBy(place)
-    numbered = sided.withColumn("_i", F.row_number().over(w)).where("_side is not null")
-    each = Window.partitionBy(line, "_side").orderBy("_i")
-    gap = F.col("_i") - F.lag("_i").over(each)
-    begun = numbered.withColumn("_b", F.when(gap.isNull() | (gap > most_gap + 1), 1).otherwise(0)).withColumn("run", F.sum("_b").over(each.rowsBetween(Window.unboundedPreceding, 0)))
-    level = begun.groupBy(line, "_side", "run").agg(F.min("_i").alias("first"), F.max("_i").alias("last"), F.median(value).alias("level"))
-    spread = begun.join(level, [line, "_side", "run"]).groupBy(line, "_side", "run", "first", "last", "level").agg(F.median(F.abs(F.col(value) - F.col("level"))).alias("spread"))
-    return spread.withColumn("n", F.col("last") - F.col("first") + 1).where((F.col("n") >= least) & (F.col("spread") <= most_spread)).drop("spread").withColumnRenamed("_side", "side")
+    known = series.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(line).orderBy(place)))
+    off = known.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)) if shrink else F.array(F.lit(1)))).withColumn("_off", F.col("side") * (F.col(value) - F.col(base)))
+    w = Window.partitionBy(line, "side").orderBy("_i")
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    off = off.withColumn("_strong", F.col("_off") > F.col(gate)).withColumn("_breaks", F.sum((F.col("_off") <= 0.5 * F.col(gate)).cast("int")).over(up_to))
+    # The last strong sample before, and whether what lies between is short and without a break.
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    for name, of in (("_last", "_i"), ("_had", "_breaks")):
+        off = off.withColumn(name, F.last(F.when(F.col("_strong"), F.col(of)), True).over(before))
+    begins = F.col("_strong") & (F.col("_last").isNull() | (F.col("_i") - F.col("_last") - 1 > most_gap) | (F.col("_breaks") > F.col("_had")))
+    off = off.withColumn("run", F.sum(begins.cast("int")).over(up_to))
+    ends = off.where("_strong").groupBy(line, "side", "run").agg(F.min("_i").alias("first"), F.max("_i").alias("last"))
+    inside = off.join(ends, [line, "side", "run"]).where("_i <= last")
+    level = inside.groupBy(line, "side", "run", "first", "last").agg(F.median(value).alias("level"), F.first(base).alias("_base"), F.first(gate).alias("_gate"))
+    level = level.withColumn("n", F.col("last") - F.col("first") + 1).withColumn("_far", F.abs(F.col("level") - F.col("_base"))).where((F.col("n") >= least) & (F.col("_far") > F.col("_gate")))
+    spread = inside.join(level.select(line, "side", "run", "level"), [line, "side", "run"]).groupBy(line, "side", "run").agg((1.4826 * F.median(F.abs(F.col(value) - F.col("level")))).alias("_spread"))
+    return level.join(spread, [line, "side", "run"]).where(F.col("_spread") <= F.greatest(F.lit(1.0), 0.6 * F.col("_far"))).select(line, "side", "run", "first", "last", "n", "level")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import lines, sql, stations
@@ -193,3 +193,23 @@ def pinch_fit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     sse = tried.groupBy("line", "k").agg(F.round(F.sum(miss * miss), 6).alias("e"))
     best = sse.groupBy("line").agg(F.min(F.struct("e", "k")).alias("b"))
     return best.select("line", F.round("b.k", 4).alias("k"), "b.e")
+
+
+@query(
+    f"""{sql('stations')}, k AS (SELECT line, w, row_number() OVER (PARTITION BY line ORDER BY i) AS i, median(w) OVER (PARTITION BY line) AS base FROM stations WHERE w IS NOT NULL),
+    o AS (SELECT line, i, w, base, greatest(2.0, 0.2 * base) AS gate, side, side * (w - base) AS off FROM k CROSS JOIN (VALUES (1), (-1)) AS v(side)),
+    b AS (SELECT *, off > gate AS strong, sum(CASE WHEN off <= 0.5 * gate THEN 1 ELSE 0 END) OVER (PARTITION BY line, side ORDER BY i) AS breaks FROM o),
+    g AS (SELECT line, side, i, breaks, lag(i) OVER w AS last, lag(breaks) OVER w AS had FROM b WHERE strong WINDOW w AS (PARTITION BY line, side ORDER BY i)),
+    r AS (SELECT line, side, i, sum(CASE WHEN last IS NULL OR i - last > 4 OR breaks > had THEN 1 ELSE 0 END) OVER (PARTITION BY line, side ORDER BY i) AS run FROM g),
+    e AS (SELECT line, side, run, min(i) AS first, max(i) AS last FROM r GROUP BY line, side, run HAVING max(i) - min(i) >= 2),
+    m AS (SELECT e.line, e.side, e.run, first, last, median(w) AS level, any_value(base) AS base, any_value(gate) AS gate FROM e JOIN b ON e.line = b.line AND e.side = b.side AND b.i BETWEEN first AND last GROUP BY e.line, e.side, e.run, first, last),
+    s AS (SELECT m.line, m.side, m.first, 1.4826 * median(abs(w - level)) AS spread FROM m JOIN k ON m.line = k.line AND k.i BETWEEN first AND last GROUP BY m.line, m.side, m.first)
+    SELECT m.line, CAST(m.side AS INT) AS side, CAST(m.first AS BIGINT) AS first, CAST(m.last AS BIGINT) AS last, round(level, 6) AS level FROM m JOIN s ON m.line = s.line AND m.side = s.side AND m.first = s.first
+    WHERE abs(level - base) > gate AND spread <= greatest(1.0, 0.6 * abs(level - base))"""
+)
+def exception_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of a line that hold a width of their own."""
+    own = stations(spark, sf_dir).where("w is not null")
+    own = own.withColumn("base", F.median("w").over(Window.partitionBy("line"))).withColumn("gate", F.greatest(F.lit(2.0), 0.2 * F.col("base")))
+    found = series.exception_runs(own, "line", "i", "w", "base", "gate", most_gap=3)
+    return found.select("line", "side", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.round("level", 6).alias("level"))
