@@ -67,6 +67,18 @@ def box(pixels: DataFrame, k: int, out: str, combine, value: Column) -> DataFram
     return pixels.withColumn("_row", combine(value).over(across)).withColumn(out, combine(F.col("_row")).over(down)).drop("_row")
 
 
+def kernel_max(pixels: DataFrame, offsets: Offsets, out: str, value: Column) -> DataFrame:
+    """Adds the largest value under a kernel that is one run in each of its rows, as ellipses are, on a dense raster.
+
+    Runs of one length share a window along the row; the kernel's rows are then met down the columns, so nothing is exploded.
+    """
+    runs = {dy: max(dx for y, dx in offsets if y == dy) for dy, _ in offsets}
+    across = Window.partitionBy("r").orderBy("c")
+    wide = pixels.select("*", *[F.max(value).over(across.rangeBetween(-k, k)).alias(f"_run{k}") for k in sorted(set(runs.values()))])
+    down = Window.partitionBy("c").orderBy("r")
+    return wide.withColumn(out, F.greatest(*[F.max(f"_run{k}").over(down.rangeBetween(dy, dy)) for dy, k in runs.items()])).select(*pixels.columns, out)
+
+
 def box_mean_std(pixels: DataFrame, value: str, k: int, least: int) -> DataFrame:
     """Adds mean and std over the known (not null) values of each box; null where there are fewer than ``least``."""
     v = F.col(value).cast("double")
@@ -118,14 +130,14 @@ def nearest_class(pixels: DataFrame, seeds: DataFrame, radius: int) -> DataFrame
     return pixels.select("r", "c").join(best, ["r", "c"], "left").select("r", "c", "near.d2", "near.cls")
 
 
-def geodesic_growth(seeds: DataFrame, limit: DataFrame, most: int, height: int, width: int) -> DataFrame:
-    """Seeds grown by 3 x 3 steps within ``limit``, ``most`` steps at most; stops when nothing is added.
+def geodesic_growth(seeds: DataFrame, limit: DataFrame, most: int, height: int, width: int, step: Offsets | None = None) -> DataFrame:
+    """Seeds grown by steps (3 x 3 by default) within ``limit``, ``most`` steps at most; stops when nothing is added.
 
     Each round only spreads what the last one added, and is cut from lineage.
     """
     grown = front = cut(seeds.select("r", "c").distinct())
     for _ in range(most):
-        front = cut(dilate(front, square(3), height, width).join(limit.select("r", "c"), ["r", "c"], "left_semi").join(grown, ["r", "c"], "left_anti"))
+        front = cut(dilate(front, step or square(3), height, width).join(limit.select("r", "c"), ["r", "c"], "left_semi").join(grown, ["r", "c"], "left_anti"))
         if front.isEmpty():
             break
         grown = grown.union(front)

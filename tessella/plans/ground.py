@@ -10,9 +10,9 @@ from ..operators import records, regions, stencil
 
 
 def lifted_shadows(pixels: DataFrame, known: DataFrame, k: int, ratio: float) -> DataFrame:
-    """Bands of known, dark pixels scaled up to what is around: by local maximum over luma, 1 to 3 times."""
+    """Bands of known, dark pixels scaled up to what is around: to the largest luma in an ellipse 2k+1 wide, known or not, 1 to 3 times."""
     y = pixels.withColumn("y", luma(F.col("red"), F.col("green"), F.col("blue"))).join(known.select("r", "c", F.lit(True).alias("known")), ["r", "c"], "left")
-    near = stencil.box(y, k, "top", F.max, F.when(F.col("known"), F.col("y")))
+    near = stencil.kernel_max(y, stencil.ellipse(2 * k + 1), "top", F.col("y"))
     dark = F.col("known") & (F.col("y") < ratio * F.greatest("top", F.lit(1.0))) & (F.col("y") >= 3)
     scale = F.when(dark, F.least(F.greatest(F.col("top") / F.greatest("y", F.lit(1.0)), F.lit(1.0)), F.lit(3.0))).otherwise(1.0)
     fit = lambda c: F.least(F.col(c) * scale, F.lit(255.0)).cast("int").alias(c)
@@ -45,11 +45,16 @@ def relit(pixels: DataFrame, mask: DataFrame, k: int, least: float, enough: int
 
 
 def bare_ground(pixels: DataFrame, objects: DataFrame, height: int, width: int, dilate: int = 5, shadow: int = 8, ratio: float = 0.55, radius: int = 6) -> DataFrame:
-    """The whole chain: objects dilated, shadows at them grown in, holes filled from the nearest ground."""
+    """Objects dilated, shadows at them grown in, holes filled from the nearest ground.
+
+    A pixel is in shadow if its luma is less than ``ratio`` of the largest around it, in an ellipse
+    that is as wide as shadows may grow, and 3 at least.
+    """
     mask = stencil.dilate(objects, stencil.ellipse(dilate), height, width)
     y = pixels.withColumn("y", luma(F.col("red"), F.col("green"), F.col("blue")))
-    dark = stencil.box(y, 3, "top", F.max, F.col("y")).where(F.col("y") < ratio * F.col("top")).select("r", "c")
-    mask = stencil.geodesic_growth(mask, dark.union(mask).distinct(), shadow, height, width)
+    around = stencil.kernel_max(y, stencil.ellipse(2 * min(shadow, 32) + 1), "top", F.col("y"))
+    dark = around.where((F.col("y") < ratio * F.greatest("top", F.lit(1.0))) & (F.col("y") >= 3)).select("r", "c")
+    mask = stencil.geodesic_growth(mask, dark.union(mask).distinct(), shadow, height, width, stencil.ellipse(3))
     return filled(pixels, mask, radius)
 
 
