@@ -5,29 +5,36 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what has to outlive an executor: the session's ``spark.checkpoint.dir``.
+
+    Where the session names none, a folder of our own is set on a local master; on a cluster, whose machines share no local folder, that is an error.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = os.path.join(tempfile.gettempdir(), "tessella-checkpoints")
+        context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` stored reliably in the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where the session names none, a folder
-    of our own is set on a local master; on a cluster, whose machines share no local folder, that is an error.
     The shuffle files of ``df`` are dropped as soon as it is stored.
     """
     conf = df.sparkSession.conf
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = os.path.join(tempfile.gettempdir(), "tessella-checkpoints")
-        context.setCheckpointDir(named)
+    shared_folder(df.sparkSession)
     before = conf.get(_CLEANUP, None)
     conf.set(_CLEANUP, "true")
     try:

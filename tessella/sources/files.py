@@ -74,12 +74,14 @@ def pair_by_stem(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Writes (name, content) rows as files below a folder, each under another name first and then moved.
+    """Writes (name, content) rows as files below a folder, each under a name of the attempt first and then moved.
 
     The folder may be in any store that Arrow knows; every executor must see it.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from uuid import uuid4
+
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
@@ -87,9 +89,10 @@ def write_files(files: DataFrame, folder: str) -> None:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 target = f"{root}/{name}"
                 store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(f"{target}.part") as out:
+                part = f"{target}.{uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
                     out.write(content.as_py())
-                store.move(f"{target}.part", target)
+                store.move(part, target)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
     files.select("name", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
