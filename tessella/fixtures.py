@@ -63,10 +63,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), day.alias("x"), (F.col("o_totalprice") / 100.0).alias("y"))
 
 
-def boxes(spark: SparkSession, sf_dir: str, share: int = 50) -> DataFrame:
-    """(id, x0, y0, x1, y1): a box round every ``share``-th order's point."""
-    own = points(spark, sf_dir).where(F.col("id") % share == 0)
-    return own.select("id", (F.col("x") - 15).alias("x0"), (F.col("y") - 50).alias("y0"), (F.col("x") + 15).alias("x1"), (F.col("y") + 50).alias("y1"))
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, x0, y0, x1, y1): a box round every order's point."""
+    own = points(spark, sf_dir)
+    return own.select("id", (F.col("x") - 3).alias("x0"), (F.col("y") - 10).alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 10).alias("y1"))
 
 
 def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ SQL = {
     "lines": "lines AS (SELECT user_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS seq, (epoch_us(ts) - 1704067200000000) / 3600000000.0::DOUBLE AS x, value AS y FROM events)",
     "stations": "stations AS (SELECT user_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 AS s, CASE WHEN event_type <> 'error' THEN value END AS w FROM events)",
     "points": "points AS (SELECT o_orderkey AS id, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, o_totalprice / 100.0::DOUBLE AS y FROM orders)",
-    "boxes": "boxes AS (SELECT id, x - 15 AS x0, y - 50 AS y0, x + 15 AS x1, y + 50 AS y1 FROM points WHERE id % 50 = 0)",
+    "boxes": "boxes AS (SELECT id, x - 3 AS x0, y - 10 AS y0, x + 3 AS x1, y + 10 AS y1 FROM points)",
     "items": "items AS (SELECT l.doc_id AS tile_id, d.source, CASE WHEN quality = 1 THEN 'correct' WHEN toxic = 1 THEN 'incorrect' ELSE 'pending' END AS status, toxic = 1 AS corrected FROM labels l JOIN documents d ON l.doc_id = d.doc_id)",
     "predictions": "predictions AS (SELECT d.lang AS tile, CASE WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS pred, l.quality AS target FROM labels l JOIN documents d ON l.doc_id = d.doc_id)",
 }

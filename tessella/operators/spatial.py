@@ -55,20 +55,20 @@ def crossings(segments: DataFrame, size_x: float, size_y: float, line: str = "li
     ``segments``: line, x0, y0, x1, y1 from point to point.
     """
     boxed = segments.withColumns({"bx0": F.least("x0", "x1"), "bx1": F.greatest("x0", "x1"), "by0": F.least("y0", "y1"), "by1": F.greatest("y0", "y1")})
+    boxed = boxed.withColumns({"cx": F.floor(F.col("bx0") / size_x).cast("long"), "cy": F.floor(F.col("by0") / size_y).cast("long")})
     binned = boxed.withColumn("_bx", F.explode(cells(F.col("bx0"), F.col("bx1"), size_x))).withColumn("_by", F.explode(cells(F.col("by0"), F.col("by1"), size_y)))
-    named = (line, "x0", "y0", "x1", "y1", "bx0", "bx1", "by0", "by1")
-    a, b = (binned.select("_bx", "_by", *[F.col(c).alias(f"{s}_{c}") for c in named]) for s in "ab")
-    met = a.join(b, ["_bx", "_by"]).where(F.col(f"a_{line}") < F.col(f"b_{line}"))
+    named = (line, "x0", "y0", "x1", "y1", "bx0", "bx1", "by0", "by1", "cx", "cy")
+    a, b = (binned.select(F.col("_bx").alias(f"{s}_bx"), F.col("_by").alias(f"{s}_by"), *[F.col(c).alias(f"{s}_{c}") for c in named]) for s in "ab")
+    # A pair whose boxes overlap is taken in the cell of the overlap's lower corner alone, and only then met in arithmetic.
+    same = (F.col("a_bx") == F.col("b_bx")) & (F.col("a_by") == F.col("b_by")) & (F.col(f"a_{line}") < F.col(f"b_{line}"))
+    corner = (F.greatest("a_cx", "b_cx") == F.col("a_bx")) & (F.greatest("a_cy", "b_cy") == F.col("a_by"))
+    met = a.join(b, same & corner & F.expr("a_bx0 <= b_bx1 and b_bx0 <= a_bx1 and a_by0 <= b_by1 and b_by0 <= a_by1"))
     dax, day, dbx, dby = F.expr("a_x1 - a_x0"), F.expr("a_y1 - a_y0"), F.expr("b_x1 - b_x0"), F.expr("b_y1 - b_y0")
     cross = dax * dby - day * dbx
     ex, ey = F.expr("b_x0 - a_x0"), F.expr("b_y0 - a_y0")
-    met = met.where(cross != 0).withColumn("_t", (ex * dby - ey * dbx) / cross).withColumn("_u", (ex * day - ey * dax) / cross)
+    met = met.withColumn("_t", F.try_divide(ex * dby - ey * dbx, cross)).withColumn("_u", F.try_divide(ex * day - ey * dax, cross))  # null where parallel
     met = met.where("_t between 0 and 1 and _u between 0 and 1")
-    # Held inside both boxes against rounding, the crossing lies in one of the cells that both are in; only that one reports it.
-    held = lambda v, low, high: F.least(F.greatest(v, F.greatest(f"a_b{low}", f"b_b{low}")), F.least(f"a_b{high}", f"b_b{high}"))
-    met = met.withColumn("x", held(F.col("a_x0") + F.col("_t") * dax, "x0", "x1")).withColumn("y", held(F.col("a_y0") + F.col("_t") * day, "y0", "y1"))
-    met = met.where((F.floor(F.col("x") / size_x) == F.col("_bx")) & (F.floor(F.col("y") / size_y) == F.col("_by")))
-    return met.select(F.col(f"a_{line}").alias("line_a"), F.col(f"b_{line}").alias("line_b"), "x", "y")
+    return met.select(F.col(f"a_{line}").alias("line_a"), F.col(f"b_{line}").alias("line_b"), (F.col("a_x0") + F.col("_t") * dax).alias("x"), (F.col("a_y0") + F.col("_t") * day).alias("y"))
 
 
 def within(points: DataFrame, hubs: DataFrame, reach: float) -> DataFrame:
@@ -82,9 +82,12 @@ def within(points: DataFrame, hubs: DataFrame, reach: float) -> DataFrame:
 
 def rasterized(boxes: DataFrame, height: int, width: int, value: str) -> DataFrame:
     """(r, c, value): pixels whose centre lies in a box, the largest value where boxes overlap."""
-    rows = boxes.withColumn("r", F.explode(F.when(F.ceil(F.col("y0") - 0.5) <= F.floor(F.col("y1") - 0.5), F.sequence(F.greatest(F.lit(0), F.ceil(F.col("y0") - 0.5)).cast("int"), F.least(F.lit(height - 1), F.floor(F.col("y1") - 0.5)).cast("int"))).otherwise(F.array().cast("array<int>"))))
-    both = rows.withColumn("c", F.explode(F.when(F.ceil(F.col("x0") - 0.5) <= F.floor(F.col("x1") - 0.5), F.sequence(F.greatest(F.lit(0), F.ceil(F.col("x0") - 0.5)).cast("int"), F.least(F.lit(width - 1), F.floor(F.col("x1") - 0.5)).cast("int"))).otherwise(F.array().cast("array<int>"))))
-    return both.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)).groupBy("r", "c").agg(F.max(value).alias(value))
+    def clipped(low: str, high: str, size: int) -> Column:
+        first, last = F.greatest(F.lit(0), F.ceil(F.col(low) - 0.5)).cast("int"), F.least(F.lit(size - 1), F.floor(F.col(high) - 0.5)).cast("int")
+        return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+
+    both = boxes.withColumn("r", clipped("y0", "y1", height)).withColumn("c", clipped("x0", "x1", width))
+    return both.groupBy("r", "c").agg(F.max(value).alias(value))
 
 
 def rasterized_rings(rings: DataFrame, height: int, width: int, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..fixtures import WIDTH, height, lines, mask, points, proba, raster, rgb, sql, stations, table
 from ..functions import pixels as px
 from ..operators import regions, stencil
-from ..operators.graph import cut
+from ..operators.graph import cut, shared_folder
 from ..plans import footprints, ground, roads
 from ..sources import files, geotiff, png, shapefile
 from ..streaming import incremental
@@ -98,9 +98,9 @@ def yolo_label_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.yolo_boxes(own, 640, 480)
 
 
-@query(f"{sql('points')} SELECT id, 'Point' AS type, round(x, 6) AS x, round(y, 6) AS y FROM points WHERE id % 5 = 0")
+@query(f"{sql('points')} SELECT id, 'Point' AS type, round(x, 6) AS x, round(y, 6) AS y FROM points")
 def geojson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = points(spark, sf_dir).where("id % 5 = 0")
+    own = points(spark, sf_dir)
     text = files.feature_json(F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")), F.struct("id"))
     back = F.from_json(text, "geometry struct<type:string,coordinates:array<double>>, properties struct<id:bigint>")
     return own.select(back.alias("f")).select(F.col("f.properties.id").alias("id"), "f.geometry.type", F.round(F.col("f.geometry.coordinates")[0], 6).alias("x"), F.round(F.col("f.geometry.coordinates")[1], 6).alias("y"))
@@ -177,13 +177,26 @@ def ground_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.bare_ground(rgb(spark, sf_dir), objects, height(spark, sf_dir), WIDTH)
 
 
-@query()
+@query(
+    f"""{sql('rgb')}, y AS (SELECT *, 0.2126::DOUBLE * red + 0.7152::DOUBLE * green + 0.0722::DOUBLE * blue AS y FROM rgb), e AS (SELECT CAST(dy AS BIGINT) AS dy, CAST(dx AS BIGINT) AS dx FROM (SELECT unnest(range(-3, 4)) AS dy) CROSS JOIN (SELECT unnest(range(-3, 4)) AS dx) WHERE abs(dx) <= round(3 * sqrt((9 - dy * dy) / 9.0::DOUBLE))),
+    t AS (SELECT a.r, a.c, max(b.y) AS top FROM y a CROSS JOIN e JOIN y b ON b.r = a.r + e.dy AND b.c = a.c + e.dx GROUP BY a.r, a.c),
+    s AS (SELECT y.*, CASE WHEN q % 5 > 0 AND y < 0.55::DOUBLE * greatest(top, 1.0) AND y >= 3 THEN least(greatest(top / greatest(y, 1.0), 1.0), 3.0) ELSE 1.0 END AS scale
+          FROM y JOIN t ON y.r = t.r AND y.c = t.c JOIN raster q ON y.r = q.r AND y.c = q.c)
+    SELECT r, c, CAST(trunc(least(red * scale, 255.0)) AS INT) AS red, CAST(trunc(least(green * scale, 255.0)) AS INT) AS green, CAST(trunc(least(blue * scale, 255.0)) AS INT) AS blue FROM s"""
+)
 def shadow_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = raster(spark, sf_dir).where("q % 5 > 0").select("r", "c")
     return ground.lifted_shadows(rgb(spark, sf_dir), known, 3, 0.55)
 
 
-@query()
+@query(
+    f"""{sql('rgb', 'mask')}, y AS (SELECT rgb.*, 0.2126::DOUBLE * red + 0.7152::DOUBLE * green + 0.0722::DOUBLE * blue AS y, mask.r IS NOT NULL AS hole FROM rgb LEFT JOIN mask ON rgb.r = mask.r AND rgb.c = mask.c),
+    a AS (SELECT r, c, count(*) FILTER (NOT hole) OVER w AS n, coalesce(sum(y) FILTER (NOT hole) OVER w, 0) AS s FROM y WINDOW w AS (PARTITION BY r ORDER BY c RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+    d AS (SELECT r, c, sum(n) OVER w AS n, sum(s) OVER w AS s FROM a WINDOW w AS (PARTITION BY c ORDER BY r RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+    l AS (SELECT y.*, CASE WHEN n > 8 THEN s / n ELSE (SELECT median(y) FROM y WHERE NOT hole) END AS local FROM y JOIN d ON y.r = d.r AND y.c = d.c),
+    s AS (SELECT *, CASE WHEN hole AND y < 0.8::DOUBLE * local AND y > 1 THEN least(greatest(0.92::DOUBLE * local / greatest(y, 1.0), 1.0), 3.5) ELSE 1.0 END AS scale FROM l)
+    SELECT r, c, CAST(trunc(least(red * scale, 255.0)) AS INT) AS red, CAST(trunc(least(green * scale, 255.0)) AS INT) AS green, CAST(trunc(least(blue * scale, 255.0)) AS INT) AS blue FROM s"""
+)
 def relight_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.relit(rgb(spark, sf_dir), mask(spark, sf_dir), 3, 0.8)
 
@@ -228,10 +241,7 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     found: list[DataFrame] = []
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    from uuid import uuid4
-
-    incremental.drain(stream, lambda batch, _: found.append(cut(batch.groupBy("event_type").agg(F.count("*").alias("n")))), f"{shared}/stream-{uuid4().hex}")
+    incremental.drain(stream, lambda batch, _: found.append(cut(batch.groupBy("event_type").agg(F.count("*").alias("n")))), f"{shared_folder(spark)}/stream-{uuid4().hex}")
     whole = found[0]
     for more in found[1:]:
         whole = whole.union(more)
@@ -251,7 +261,7 @@ def split_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{sql('raster')}, t AS (SELECT r, c, r + 0.25::DOUBLE AS y, c + 0.5::DOUBLE AS x FROM raster WHERE r % 3 = 0),
+    f"""{sql('raster')}, t AS (SELECT r, c, r + 0.25::DOUBLE AS y, c + 0.5::DOUBLE AS x FROM raster),
     a AS (SELECT t.*, s.q, (1 - abs(y - s.r)) * (1 - abs(x - s.c)) AS w FROM t JOIN raster s ON s.r BETWEEN floor(y) AND floor(y) + 1 AND s.c BETWEEN floor(x) AND floor(x) + 1)
     SELECT r, c, round(sum(w * q) / sum(w), 6) AS q FROM a WHERE w > 0 GROUP BY r, c"""
 )
@@ -260,7 +270,7 @@ def warp_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.tiling import warped
 
     own = raster(spark, sf_dir)
-    return warped(own.where("r % 3 = 0"), own, F.col("r") + 0.25, F.col("c") + 0.5, "q").select("r", "c", F.round("q", 6).alias("q"))
+    return warped(own, own, F.col("r") + 0.25, F.col("c") + 0.5, "q").select("r", "c", F.round("q", 6).alias("q"))
 
 
 @query(

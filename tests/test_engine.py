@@ -301,9 +301,27 @@ def test_grain_comes_from_the_cell(spark):
 
 
 def test_exception_runs(spark):
-    widths = [6, 6, 6, 12, 12.5, 6, 12, 6, 6, 2, 2, 2, 6]
-    df = frame(spark, [(1, i, float(w), 6.0) for i, w in enumerate(widths)], "line long, i long, w double, base double")
-    assert got(series.exception_runs(df, "line", "i", "w", "base"), "side", "first", "last", "level") == [(-1, 10, 12, 2.0), (1, 4, 7, 12.0)]
+    # A gap that is weak is bridged (12, 8.5, 12), one that is not is not (12, 6, 12); a ramp is no steady width.
+    widths = [6, 6, 6, 12, 12.5, 8.5, 12, 6, 6, 2, 2, 2, 6, 12, 12, 6, 12, None, 6, 9, 14, 22, 30, 6]
+    df = frame(spark, [(1, i, None if w is None else float(w), 6.0, 2.0) for i, w in enumerate(widths)], "line long, i long, w double, base double, gate double")
+    want = [(-1, 10, 12, 2.0), (1, 4, 7, 12.0)]
+    assert got(series.exception_runs(df, "line", "i", "w", "base", "gate"), "side", "first", "last", "level") == want
+    assert got(series.exception_runs(df, "line", "i", "w", "base", "gate", shrink=False), "side", "first", "last", "level") == want[1:]
+    wide = frame(spark, [(1, i, w, 6.0, 2.0) for i, w in enumerate([6.0, 9.0, 9.0, 30.0, 30.0, 14.0, 60.0, 60.0, 6.0])], "line long, i long, w double, base double, gate double")
+    assert series.exception_runs(wide, "line", "i", "w", "base", "gate").count() == 0  # spread 1.4826 * 21 > 0.6 * 24
+
+
+def test_boxes_beside_the_raster_set_no_pixel(spark):
+    boxes = frame(spark, [(9.0, 30.2, 12.0, 32.0, 1), (-5.0, -4.0, -1.0, -1.0, 1), (2.0, 3.0, 4.0, 5.0, 7)], "x0 double, y0 double, x1 double, y1 double, v long")
+    assert got(spatial.rasterized(boxes, 30, 40, "v"), "r", "c", "v") == [(3, 2, 7), (3, 3, 7), (4, 2, 7), (4, 3, 7)]
+
+
+def test_shadows_are_measured_against_all_pixels_in_an_ellipse(spark):
+    """A bright pixel that is not known counts, one in the corner of the square does not."""
+    px = frame(spark, [(r, c, *[200 if (r, c) == (0, 3) else 250 if (r, c) == (0, 6) else 50] * 3) for r in range(7) for c in range(7)], "r long, c long, red int, green int, blue int")
+    known = px.where("red = 50").select("r", "c")
+    out = {(x["r"], x["c"]): x["red"] for x in ground.lifted_shadows(px, known, 3, 0.55).collect()}
+    assert out[0, 3] == 200 and out[3, 3] == 150 and out[6, 0] == 50  # 200 / 50 is over 3; (0, 6) is outside of the ellipse at (3, 3)
 
 
 def test_lines_are_snapped_and_measured_whole(spark):
