@@ -79,15 +79,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     and come as often as all of them together. Rows with null ids come too. No rows: no rows.
     """
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    counts = _mixed(docs, **options).groupBy("doc_id", "source", "mark").agg(F.sum(times).cast("int").alias("times"), F.count("*").cast("int").alias("rows"))
+    # The source travels as a hash, so that what may be sent has a fixed width.
+    of = lambda source: F.xxhash64(source, source.isNull())
+    counts = _mixed(docs, **options).groupBy("doc_id", of(F.col("source")).alias("source"), "mark").agg(F.sum(times).cast("int").alias("times"), F.count("*").cast("int").alias("rows"))
     own, copy = unused(docs, "mix"), unused(docs, "copy")
     side = sendable(counts.where("times > 0").select(F.struct("*").alias(own)))
-    met = F.col("doc_id").eqNullSafe(F.col(f"{own}.doc_id")) & F.col("source").eqNullSafe(F.col(f"{own}.source")) & (mark(whole_text()) == F.col(f"{own}.mark"))
+    met = F.col("doc_id").eqNullSafe(F.col(f"{own}.doc_id")) & (of(F.col("source")) == F.col(f"{own}.source")) & (mark(whole_text()) == F.col(f"{own}.mark"))
     each = docs.join(side, met)
     alone = each.where(F.col(f"{own}.rows") == 1)
-    alike = each.where(F.col(f"{own}.rows") > 1)
-    if not counts.where("rows > 1 and times > 0").isEmpty():
-        alone = alone.union(alike.dropDuplicates([own]))
+    alike = side.where(F.col(f"{own}.rows") > 1)
+    if not alike.isEmpty():
+        alone = alone.union(each.where(F.col(f"{own}.rows") > 1).dropDuplicates([own]))
     return alone.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{own}.times")))).select(docs.columns)
 
 
