@@ -73,6 +73,11 @@ def hash_split(df: DataFrame, key: str, seed: str, share: float, least: int) ->
     return hashed.withColumn("split", F.when(F.col("_h") <= edge, "val").otherwise("train")).drop("_h")
 
 
+def hash_share(key: Column, seed: str, share: float) -> Column:
+    """Whether a key is among a ``share`` of all, by its hash; the same in every run."""
+    return F.substring(hash_order(key, seed), 1, 8) < f"{round(share * (1 << 32)):08x}" if share < 1 else F.lit(True)
+
+
 def quota(df: DataFrame, stratum: Column, key: str, seed: str, quotas: dict[str, int]) -> DataFrame:
     """As many rows of each stratum as its quota says, in hash order."""
     w = Window.partitionBy("stratum").orderBy(hash_order(F.col(key), seed))

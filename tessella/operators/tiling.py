@@ -91,6 +91,30 @@ def mostly_empty(pixels: DataFrame, tile_keys: list[str], bands: list[str], noda
     return share.withColumn("is_empty", F.col("empty_share") >= least)
 
 
+def class_shares(pixels: DataFrame, keys: list[str], classes: dict[str, Column]) -> DataFrame:
+    """Share of each chip's pixels in each class; a null condition is not in it."""
+    return pixels.groupBy(*keys).agg(*[F.avg(F.coalesce(within, F.lit(False)).cast("double")).alias(name) for name, within in classes.items()])
+
+
+def square_chips(pixels: DataFrame, keys: list[str], bands: list[str], least_side: int = 8, least_lit: float = 0.05, side: int = 16, fill: int = 114) -> DataFrame:
+    """(keys, i, j, bands): the footprint of each chip, cropped to its bounds and padded to a square.
+
+    ``pixels`` holds the pixels of the footprints (keys, r, c, bands), one row each. Within the bounds what is not
+    in the footprint is 0, beyond them ``fill``. Chips whose bounds have a side below ``least_side``, or a
+    smaller share of pixels above 0 in any band than ``least_lit``, are left out. The bounds are those of a
+    footprint's own pixels: a square's size grows with them alone.
+    """
+    lit = F.greatest(*bands, F.lit(0)) > 0
+    bounds = pixels.groupBy(*keys).agg(F.min("r").alias("_r"), F.min("c").alias("_c"), (F.max("r") - F.min("r") + 1).alias("_h"), (F.max("c") - F.min("c") + 1).alias("_w"), F.sum(lit.cast("int")).alias("_lit"))
+    kept = bounds.where((F.least("_h", "_w") >= least_side) & (F.col("_lit") >= least_lit * F.col("_h") * F.col("_w"))).withColumn("_side", F.greatest("_h", "_w", F.lit(side)))
+    steps = F.sequence(F.lit(0), (F.col("_side") - 1).cast("int"))
+    cells = kept.select("*", F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
+    y, x = (F.col(at) - F.floor((F.col("_side") - F.col(n)) / 2) for at, n in (("i", "_h"), ("j", "_w")))
+    placed = cells.select(*keys, "i", "j", (F.col("_r") + y).alias("r"), (F.col("_c") + x).alias("c"), (y.between(0, F.col("_h") - 1) & x.between(0, F.col("_w") - 1)).alias("_inside"))
+    around = F.when(F.col("_inside"), 0).otherwise(fill)
+    return placed.join(pixels.select(*keys, "r", "c", *bands), [*keys, "r", "c"], "left").select(*keys, "i", "j", *[F.coalesce(F.col(b), around).alias(b) for b in bands])
+
+
 def area_average(pixels: DataFrame, factor: int, value: str, out: str) -> DataFrame:
     """Reduction by a whole factor."""
     return pixels.groupBy(F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c")).agg(F.avg(value).alias(out))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import WIDTH, height, mask, proba, raster, rgb, sql, sql_tiles
+from ..fixtures import LEVEL, WIDTH, height, mask, proba, raster, rgb, sql, sql_tiles
 from ..functions import pixels
-from ..operators import regions, stencil, tiling
+from ..operators import records, regions, stencil, tiling
 
 QUERIES, ORACLES = {}, {}
 TILE, OVERLAP = 32, 0.25
@@ -336,3 +336,39 @@ def raster_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(spark, sf_dir).agg(F.count("*").alias("n"), F.count_distinct("q").alias("n_values"), F.min("q").alias("low"), F.max("q").alias("high"))
 
 
+
+
+@query(
+    f"""{sql('raster', 'size')}, {sql_tiles(32, 24)}, shares AS (
+        SELECT row_off, col_off, avg(CASE WHEN q >= 205 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS water, avg(CASE WHEN q < 35 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS road
+        FROM row_offs CROSS JOIN col_offs JOIN raster ON r >= row_off AND r < row_off + 32 AND c >= col_off AND c < col_off + 32 GROUP BY 1, 2)
+    SELECT CAST(row_off AS BIGINT) AS row_off, CAST(col_off AS BIGINT) AS col_off, round(water, 8) AS water, round(road, 8) AS road, water >= 0.02 AS positive, water < 0.01 AS negative, water < 1e-4 AS blank,
+        water > 0 OR road > 0 OR substr(md5('chips:' || row_off || '_' || col_off), 1, 8) < '26666666' AS kept FROM shares"""
+)
+def coverage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chips by the share of their classes: positives, negatives, blank ones, and those to keep, with a hashed share of the rest."""
+    tiled = tiling.to_tiles(raster(spark, sf_dir), height(spark, sf_dir), WIDTH, TILE, OVERLAP)
+    shares = tiling.class_shares(tiled, ["row_off", "col_off"], {"water": F.col("q") >= 205, "road": F.col("q") < 35})
+    chip = F.concat_ws("_", F.col("row_off").cast("string"), F.col("col_off").cast("string"))
+    kept = (F.col("water") > 0) | (F.col("road") > 0) | records.hash_share(chip, "chips", 0.15)
+    return shares.select(
+        F.col("row_off").cast("long").alias("row_off"), F.col("col_off").cast("long").alias("col_off"), F.round("water", 8).alias("water"), F.round("road", 8).alias("road"),
+        (F.col("water") >= 0.02).alias("positive"), (F.col("water") < 0.01).alias("negative"), (F.col("water") < 1e-4).alias("blank"), kept.alias("kept"),
+    )
+
+
+@query(
+    f"""{sql('rgb')}, own AS (SELECT r // 24 AS chip_r, c // 12 AS chip_c, * FROM rgb WHERE red >= {LEVEL}),
+    bounds AS (SELECT chip_r, chip_c, min(r) AS r0, min(c) AS c0, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w, sum(CASE WHEN greatest(red, green, blue) > 0 THEN 1 ELSE 0 END) AS lit FROM own GROUP BY 1, 2),
+    kept AS (SELECT *, greatest(h, w, 16) AS side FROM bounds WHERE h >= 8 AND w >= 8 AND 20 * lit >= h * w),
+    rows_ AS (SELECT *, unnest(range(side)) AS i FROM kept), cells AS (SELECT *, unnest(range(side)) AS j FROM rows_),
+    placed AS (SELECT *, i - (side - h) // 2 AS y, j - (side - w) // 2 AS x FROM cells),
+    shown AS (SELECT p.chip_r, p.chip_c, p.i, p.j, o.red, o.green, o.blue, CASE WHEN y >= 0 AND y < h AND x >= 0 AND x < w THEN 0 ELSE 114 END AS fill
+        FROM placed p LEFT JOIN own o ON o.chip_r = p.chip_r AND o.chip_c = p.chip_c AND o.r = p.r0 + p.y AND o.c = p.c0 + p.x)
+    SELECT chip_r, chip_c, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(coalesce(red, fill) AS BIGINT) AS red, CAST(coalesce(green, fill) AS BIGINT) AS green, CAST(coalesce(blue, fill) AS BIGINT) AS blue FROM shown"""
+)
+def square_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bright footprints cut out by block, too small or dark ones left out, padded to squares."""
+    own = rgb(spark, sf_dir).where(F.col("red") >= LEVEL).withColumn("chip_r", F.floor(F.col("r") / 24)).withColumn("chip_c", F.floor(F.col("c") / 12))
+    bands = ["red", "green", "blue"]
+    return tiling.square_chips(own, ["chip_r", "chip_c"], bands).select("chip_r", "chip_c", *[F.col(c).cast("long").alias(c) for c in ("i", "j", *bands)])
