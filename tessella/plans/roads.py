@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import series, spatial, stencil
@@ -65,6 +65,29 @@ def walked(rays: DataFrame, like: DataFrame, step: float, least: float, most: fl
     return out.select("line", "i", "side", F.when(F.col("s").isNull(), F.lit(float(most))).otherwise(F.greatest(F.coalesce("s._last", F.lit(least)), F.lit(least))).alias("reach"))
 
 
+def band_shares(bands: DataFrame, stations: DataFrame, pixels: DataFrame, classes: dict[str, Column], rows: int = 6, across: int = 4, least: float = 0.5) -> DataFrame:
+    """(line, i, j, side, classes): the share of each class among pixels sampled from bands beside lines.
+
+    ``bands``: line, stations i to j - 1, side (1 along the normal, -1 against it) and the distances lo and hi from
+    the line; ``stations``: line, i, x, y, nx, ny in pixels. At most ``rows`` stations are sampled, from first to
+    last, at ``across`` distances just inside the band. Places without a pixel don't count; bands narrower than
+    ``least``, or without any pixel, have shares of 0.
+    """
+    keys = ["line", "i", "j", "side"]
+    n = F.least(F.lit(rows), F.col("j") - F.col("i"))
+    step = (F.col("j") - 1 - F.col("i")) / F.greatest(n - 1, F.lit(1)).cast("double")
+    at = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.when(k == F.greatest(n - 1, F.lit(1)), F.col("j") - 1).otherwise(F.floor(F.col("i") + k * step)))
+    low = F.col("lo") + 0.35
+    off = low + F.col("u") * ((F.col("hi") - 0.2 - low) / max(across - 1, 1))
+    wide = bands.where((F.col("j") > F.col("i")) & (F.col("hi") - F.col("lo") >= least))
+    places = wide.withColumn("at", F.explode(F.array_distinct(at))).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).select(*keys, "at", off.alias("off"))
+    met = places.join(stations.select("line", F.col("i").alias("at"), "x", "y", "nx", "ny"), ["line", "at"])
+    spot = lambda p, d: F.bround(F.col(p) + F.col("side") * F.col(d) * F.col("off")).cast("long")
+    seen = met.select(*keys, spot("y", "ny").alias("r"), spot("x", "nx").alias("c")).join(pixels.select("r", "c", *[c.alias(name) for name, c in classes.items()]), ["r", "c"])
+    shares = seen.groupBy(*keys).agg(*[F.avg(F.col(name).cast("double")).alias(name) for name in classes])
+    return bands.select(*keys).distinct().join(shares, keys, "left").select(*keys, *[F.coalesce(name, F.lit(0.0)).alias(name) for name in classes])
+
+
 def ribbon_widths(stations: DataFrame, least_split: float = 0.08) -> DataFrame:
     """(line, i, left, right): a fixed width a line, split between its sides, split series filled and smoothed.
 

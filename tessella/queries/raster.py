@@ -120,11 +120,12 @@ def luma_excess_green(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NOT_ROAD = """((green >= red + 6 AND green >= blue + 6 AND 2 * green - red - blue >= 12) OR (blue >= green + 16 AND blue >= red + 30 AND blue >= 48)
     OR (red >= green + 28 AND red >= blue + 28 AND red >= 70) OR (red >= green + 22 AND blue >= green + 22 AND greatest(red, blue) >= 70))"""
+PAVEMENT = f"""NOT {NOT_ROAD} AND NOT (green >= red + 3 AND green >= blue + 3) AND NOT (greatest(red, green, blue) >= 30 AND greatest(red, green, blue) - least(red, green, blue) >= 50)"""
 
 
 @query(
     f"""{sql('rgb')} SELECT r, c, CASE WHEN {NOT_ROAD} THEN 1 ELSE 0 END AS not_road,
-        CASE WHEN NOT {NOT_ROAD} AND NOT (green >= red + 3 AND green >= blue + 3) AND NOT (greatest(red, green, blue) >= 30 AND greatest(red, green, blue) - least(red, green, blue) >= 50) THEN 1 ELSE 0 END AS pavement FROM rgb"""
+        CASE WHEN {PAVEMENT} THEN 1 ELSE 0 END AS pavement FROM rgb"""
 )
 def not_road_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = (F.col("red"), F.col("green"), F.col("blue"))

@@ -16,6 +16,7 @@ from ..operators.graph import cut, shared_folder
 from ..plans import footprints, ground, roads
 from ..sources import files, geotiff, png, shapefile
 from ..streaming import incremental
+from .raster import NOT_ROAD, PAVEMENT
 
 QUERIES, ORACLES = {}, {}
 
@@ -154,6 +155,30 @@ def ribbon_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widths.groupBy("line").agg(F.count("*").alias("n"), F.round(F.max("width"), 4).alias("width"), F.round(F.avg("left"), 4).alias("left"), F.round(F.avg("right"), 4).alias("right"))
 
 
+@query(
+    f"""{sql('size', 'lines', 'rgb')}, v AS (SELECT line, seq - 1 AS i, CAST(seq % 64 AS DOUBLE) AS x, CAST((line * 3 + seq // 4) % h AS DOUBLE) AS y FROM lines CROSS JOIN size),
+    d AS (SELECT *, coalesce(lead(x) OVER o, lag(x) OVER o, x) - x AS dx, coalesce(lead(y) OVER o, lag(y) OVER o, y) - y AS dy FROM v WINDOW o AS (PARTITION BY line ORDER BY i)),
+    n AS (SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) < 1e-3 THEN 0.0 ELSE -dy / sqrt(dx * dx + dy * dy) END AS nx, CASE WHEN sqrt(dx * dx + dy * dy) < 1e-3 THEN 1.0 ELSE dx / sqrt(dx * dx + dy * dy) END AS ny FROM d),
+    bands AS (SELECT * FROM (SELECT line, min(i) AS i, max(i) + 1 AS j FROM v GROUP BY line, i // 12) CROSS JOIN (VALUES (1, 0.0::DOUBLE, 4.0::DOUBLE), (-1, 1.0::DOUBLE, 3.0::DOUBLE)) AS s(side, lo, hi)),
+    k AS (SELECT *, least(6, j - i) AS n, unnest(range(least(6, j - i))) AS t FROM bands),
+    picked AS (SELECT DISTINCT line, i, j, side, lo, hi, CASE WHEN n = 1 THEN i WHEN t = n - 1 THEN j - 1 ELSE CAST(floor(i + t * ((j - 1 - i) / (n - 1)::DOUBLE)) AS BIGINT) END AS at FROM k),
+    places AS (SELECT *, lo + 0.35 + u * ((hi - 0.2 - (lo + 0.35)) / 3) AS far FROM picked CROSS JOIN range(4) AS a(u)),
+    spots AS (SELECT p.line, p.i, p.j, p.side, CAST(round_even(n.y + p.side * n.ny * far, 0) AS BIGINT) AS r, CAST(round_even(n.x + p.side * n.nx * far, 0) AS BIGINT) AS c FROM places p JOIN n ON n.line = p.line AND n.i = p.at),
+    seen AS (SELECT s.line, s.i, s.j, s.side, CASE WHEN {NOT_ROAD} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS off_road, CASE WHEN {PAVEMENT} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS paved FROM spots s JOIN rgb USING (r, c))
+    SELECT b.line, b.i, b.j, b.side, round(coalesce(avg(paved), 0), 8) AS paved, round(coalesce(avg(off_road), 0), 8) AS off_road
+    FROM bands b LEFT JOIN seen s ON b.line = s.line AND b.i = s.i AND b.j = s.j AND b.side = s.side GROUP BY 1, 2, 3, 4"""
+)
+def band_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paved and clearly off-road shares of bands on both sides of each line, twelve stations at a time."""
+    vertices, _, _ = _road(spark, sf_dir)
+    own = roads.with_normals(vertices).withColumn("i", F.col("seq") - 1)
+    spans = own.groupBy("line", F.floor(F.col("i") / 12)).agg(F.min("i").alias("i"), (F.max("i") + 1).alias("j"))
+    side = lambda s, lo, hi: spans.select("line", "i", "j", F.lit(s).alias("side"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+    band = (F.col("red"), F.col("green"), F.col("blue"))
+    found = roads.band_shares(side(1, 0.0, 4.0).union(side(-1, 1.0, 3.0)), own, rgb(spark, sf_dir), {"paved": px.pavement(*band), "off_road": px.not_road(*band)})
+    return found.select("line", "i", "j", "side", F.round("paved", 8).alias("paved"), F.round("off_road", 8).alias("off_road"))
+
+
 @query()
 def greedy_join_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of lines joined to the nearest free ends."""
