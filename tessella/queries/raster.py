@@ -341,20 +341,20 @@ def raster_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{sql('raster', 'size')}, {sql_tiles(32, 24)}, shares AS (
-        SELECT row_off, col_off, avg(CASE WHEN q >= 205 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS water, avg(CASE WHEN q < 35 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS road
+        SELECT row_off, col_off, avg(CASE WHEN q >= 175 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS crop, avg(CASE WHEN q >= 205 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS water, avg(CASE WHEN q < 35 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS road
         FROM row_offs CROSS JOIN col_offs JOIN raster ON r >= row_off AND r < row_off + 32 AND c >= col_off AND c < col_off + 32 GROUP BY 1, 2)
-    SELECT CAST(row_off AS BIGINT) AS row_off, CAST(col_off AS BIGINT) AS col_off, round(water, 8) AS water, round(road, 8) AS road, water >= 0.02 AS positive, water < 0.01 AS negative, water < 1e-4 AS blank,
+    SELECT CAST(row_off AS BIGINT) AS row_off, CAST(col_off AS BIGINT) AS col_off, round(crop, 8) AS crop, round(water, 8) AS water, round(road, 8) AS road, crop >= 0.02 AS positive, crop < 0.01 AS negative, water < 1e-4 AS blank,
         water > 0 OR road > 0 OR substr(md5('chips:' || row_off || '_' || col_off), 1, 8) < '26666666' AS kept FROM shares"""
 )
 def coverage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chips by the share of their classes: positives, negatives, blank ones, and those to keep, with a hashed share of the rest."""
     tiled = tiling.to_tiles(raster(spark, sf_dir), height(spark, sf_dir), WIDTH, TILE, OVERLAP)
-    shares = tiling.class_shares(tiled, ["row_off", "col_off"], {"water": F.col("q") >= 205, "road": F.col("q") < 35})
+    shares = tiling.class_shares(tiled, ["row_off", "col_off"], {"crop": F.col("q") >= 175, "water": F.col("q") >= 205, "road": F.col("q") < 35})
     chip = F.concat_ws("_", F.col("row_off").cast("string"), F.col("col_off").cast("string"))
     kept = (F.col("water") > 0) | (F.col("road") > 0) | records.hash_share(chip, "chips", 0.15)
     return shares.select(
-        F.col("row_off").cast("long").alias("row_off"), F.col("col_off").cast("long").alias("col_off"), F.round("water", 8).alias("water"), F.round("road", 8).alias("road"),
-        (F.col("water") >= 0.02).alias("positive"), (F.col("water") < 0.01).alias("negative"), (F.col("water") < 1e-4).alias("blank"), kept.alias("kept"),
+        F.col("row_off").cast("long").alias("row_off"), F.col("col_off").cast("long").alias("col_off"), *[F.round(c, 8).alias(c) for c in ("crop", "water", "road")],
+        (F.col("crop") >= 0.02).alias("positive"), (F.col("crop") < 0.01).alias("negative"), (F.col("water") < 1e-4).alias("blank"), kept.alias("kept"),
     )
 
 
