@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,20 +68,23 @@ def png_mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{sql('boxes')} SELECT id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM boxes")
 def shapefile_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes as polygon shapefiles, one for each of some groups, and read back."""
+    """Boxes as polygon shapefiles, one for each batch of rows, and read back."""
     from ..fixtures import boxes
 
-    def through(pdf: pd.DataFrame) -> pd.DataFrame:
-        shapes = [[[(b.x0, b.y0), (b.x0, b.y1), (b.x1, b.y1), (b.x1, b.y0), (b.x0, b.y0)]] for b in pdf.itertuples()]
-        shp, dbf = shapefile.encode_shp(shapes, shapefile.POLYGON), shapefile.encode_dbf([{"id": int(i)} for i in pdf["id"]], {})
-        rows = []
-        for (_, parts), record in zip(shapefile.decode_shp(shp), shapefile.decode_dbf(dbf)):
-            xs, ys = [x for x, _ in parts[0]], [y for _, y in parts[0]]
-            rows.append((record["id"], round(min(xs), 6), round(min(ys), 6), round(max(xs), 6), round(max(ys), 6)))
-        return pd.DataFrame(rows, columns=["id", "x0", "y0", "x1", "y1"])
-
-    own = boxes(spark, sf_dir)
-    return own.groupBy(F.pmod(F.hash("id"), F.lit(4))).applyInPandas(through, "id long, x0 double, y0 double, x1 double, y1 double")
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_pylist()
+            x0, y0, x1, y1 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5))  # null: no number
+            shp = shapefile.encode_rings(np.stack([np.stack(p, axis=1) for p in ((x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0))], axis=1))
+            dbf = shapefile.encode_dbf([{"id": i} for i in ids], {})
+            xy = shapefile.decode_rings(shp)
+            back = [record["id"] for record in shapefile.decode_dbf(dbf)]
+            ends = (*xy.min(axis=1).T, *xy.max(axis=1).T)
+            yield pa.RecordBatch.from_arrays([pa.array(back, pa.int64()), *[pa.array(np.round(v, 6), from_pandas=True) for v in ends]], ["id", "x0", "y0", "x1", "y1"])
+
+    return boxes(spark, sf_dir).select("id", "x0", "y0", "x1", "y1").mapInArrow(through, "id long, x0 double, y0 double, x1 double, y1 double")
 
 
 @query("SELECT n_name AS title, 'EPSG:4326' AS srs, round(n_nationkey * 3.5::DOUBLE - 100, 6) AS minx, round(n_nationkey * 3.5::DOUBLE - 90, 6) AS maxx, 256 AS tile_width, 'png' AS extension FROM nation")

@@ -195,6 +195,31 @@ def test_shapefile():
     assert shapefile.decode_dbf(shapefile.encode_dbf(rows, {"name": 10})) == rows
 
 
+def test_shapefile_of_rings():
+    xy = np.random.default_rng(3).uniform(-9, 9, (50, 5, 2))
+    raw = shapefile.encode_rings(xy)
+    assert raw == shapefile.encode_shp([[[tuple(p) for p in ring]] for ring in xy.tolist()], shapefile.POLYGON)
+    assert (shapefile.decode_rings(raw) == xy).all() and len(shapefile.decode_rings(shapefile.encode_rings(xy[:0]))) == 0
+    with pytest.raises(ValueError):
+        shapefile.decode_rings(shapefile.encode_shp([[[(0.0, 0.0)] * 4], [[(0.0, 0.0)] * 6]], shapefile.POLYGON))
+
+
+def test_shapefile_roundtrip_of_odd_rows(spark, duck, tmp_path):
+    """Rows without an id, a day or a price come back as SQL has them, from as many files as there are batches."""
+    from tessella.queries import ORACLES, QUERIES
+
+    rows = [(1, "1995-01-03", 1234.57), (None, "1995-01-04", 5.0), (3, None, 7.0), (4, "1996-02-29", None)]
+    df = frame(spark, rows, "o_orderkey long, o_orderdate string, o_totalprice double").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    df.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    ours = [tuple(r) for r in QUERIES["shapefile_roundtrip"](spark, str(tmp_path)).collect()]
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    assert sorted(ours, key=repr) == sorted(con.execute(ORACLES["shapefile_roundtrip"]).fetchall(), key=repr)
+    assert QUERIES["shapefile_roundtrip"](spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    many = shapefile.encode_dbf([{"id": i} for i in range(200_000)], {})
+    assert [r["id"] for r in shapefile.decode_dbf(many)] == list(range(200_000))
+
+
 def test_files_written_and_listed(spark, tmp_path):
     data = geotiff.encode(geotiff.Raster(np.arange(12, dtype=np.uint8).reshape(3, 4, 1)), 16)
     df = frame(spark, [("a/x.tif", bytearray(data)), ("12/3/4.png", bytearray(png.encode(np.zeros((2, 2), np.uint8)))), ("note.txt", bytearray(b"x"))], "name string, content binary")
